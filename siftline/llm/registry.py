@@ -1,6 +1,8 @@
-"""Every query of the llm operators."""
+"""Every query of the llm operators.  None has SQL: their methods are beyond it, tests compare them with brute force."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from siftline.llm import copies, history, matching, places, survivors
+
+QUERIES = {**matching.QUERIES, **survivors.QUERIES, **copies.QUERIES, **places.QUERIES, **history.QUERIES}
 SQL: dict[str, str] = {}
