@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -213,9 +212,15 @@ class Gazetteer:
         return None, "ambiguous" if picked else "none"
 
 
-@lru_cache(maxsize=4)
+_BUILT: dict[tuple, Gazetteer] = {}
+
+
 def _gazetteer(entries: tuple) -> Gazetteer:
-    return Gazetteer(list(entries))
+    """The gazetteer of a list, built once per worker."""
+    if entries not in _BUILT:
+        _BUILT.clear()
+        _BUILT[entries] = Gazetteer(list(entries))
+    return _BUILT[entries]
 
 
 def entries_of(cities: DataFrame) -> tuple:
