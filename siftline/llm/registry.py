@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftline.llm import copies, history, matching, places, privacy, survivors
+from siftline.llm import copies, history, matching, mixing, packing, places, privacy, survivors
 
-QUERIES = {**matching.QUERIES, **survivors.QUERIES, **copies.QUERIES, **places.QUERIES, **history.QUERIES, **privacy.QUERIES}
+QUERIES = {**matching.QUERIES, **survivors.QUERIES, **copies.QUERIES, **places.QUERIES, **history.QUERIES, **packing.QUERIES, **mixing.QUERIES, **privacy.QUERIES}
 SQL: dict[str, str] = {}
