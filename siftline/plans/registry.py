@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siftline.plans import instants
+from siftline.plans import core, instants
 
-QUERIES = {**instants.QUERIES}
-SQL: dict[str, str] = {}
-FLAGSHIP = instants.p3_found
+QUERIES = {**core.QUERIES, **instants.QUERIES}
+SQL: dict[str, str] = {**core.SQL}
+FLAGSHIP = core.cfp_pipeline
