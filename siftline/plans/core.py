@@ -234,13 +234,13 @@ def overlap_anti(spark, d):
     return gating.overlapping(orders, F.col("day"), gating.CONFERENCE_DAYS, busy, ["o_custkey"]).select("o_orderkey")
 
 
-#: The trips that candidates must not meet: all events that start within two weeks of the day, each interval once.
-_TRIPS = f"trips AS (SELECT a, b, min(check_id) AS check_id FROM (SELECT check_id, {s_iso('conf_start')} AS a, {s_iso('conf_end')} AS b FROM event_results) WHERE b >= a AND a BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 14 GROUP BY a, b)"
+#: The trips that candidates must not meet: all events that start within sixty days, each interval once.
+_TRIPS = f"trips AS (SELECT a, b, min(check_id) AS check_id FROM (SELECT check_id, {s_iso('conf_start')} AS a, {s_iso('conf_end')} AS b FROM event_results) WHERE b >= a AND a BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 60 GROUP BY a, b)"
 
 
 def _trips(spark: SparkSession, d: str) -> DataFrame:
     days = read(spark, d, "event_results").select("check_id", C.iso_date(F.col("conf_start")).alias("start"), C.iso_date(F.col("conf_end")).alias("end"))
-    return days.where((F.col("end") >= F.col("start")) & F.col("start").between(as_of(), F.date_add(as_of(), 14))).groupBy("start", "end").agg(F.min("check_id").alias("trip"))
+    return days.where((F.col("end") >= F.col("start")) & F.col("start").between(as_of(), F.date_add(as_of(), 60))).groupBy("start", "end").agg(F.min("check_id").alias("trip"))
 
 
 @query(f"""WITH {_TRIPS}
