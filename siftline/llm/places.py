@@ -249,6 +249,7 @@ def mapped(df: DataFrame, value: str, cities: DataFrame, out: str = "city_id", h
                 got.append(hit)
             yield pd.DataFrame({"id": pd.array([g[0] for g in got], dtype="Int32"), "how": [g[1] for g in got]})
 
+    find = find.asNondeterministic()  # a filter on the result must not run it twice
     k = "__place"
     while k in df.columns:
         k += "_"
