@@ -11,7 +11,7 @@ The running sum works in ranges of keys, so a source with a third of all rows is
 summed by many tasks.
 
 Defined results: texts of no target source, and null sources, are not chosen;
-texts without tokens are never chosen; a source that cannot reach its share
+texts without tokens are never chosen; a missing weight is 1; a source that cannot reach its share
 gives all it has `max_repeats` times and the report shows what it reached; no
 budget is exceeded; ties of keys go to the smaller id; ids are unique; the draw depends on `seed` and id only.
 """
@@ -53,8 +53,8 @@ def mixed(rows: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     config = targets.limit(MAX_TARGETS + 1).collect()
     if len(config) > MAX_TARGETS:
         raise ValueError("more target sources than a config table may hold")
-    known = rows.where((F.col("n_tokens") > 0) & F.col("source").isNotNull())
-    stats = {r["source"]: r for r in known.join(F.broadcast(targets.select("source").distinct()), "source").groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n"), F.avg("weight").alias("w"), F.avg(F.col("weight") * F.col("weight")).alias("w2")).collect()}
+    known = rows.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    stats = {r["source"]: r for r in known.join(F.broadcast(targets.select("source").distinct()), "source").groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n"), F.avg("weight").alias("w")).collect()}
     total = total if total is not None else (known.agg(F.sum("n_tokens")).first()[0] or 0)
     budgets = []
     for t in config:

@@ -40,20 +40,23 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[dict[int, list[tuple
     packs, entries = 0, {}
     for length in sorted((x for x in histogram if x > 0), reverse=True):
         left, rank, mine = histogram[length], 0, []
-        while left:
-            if room and -room[0][0] >= length:
-                free, first, count, depth = heapq.heappop(room)
-                free = -free
-            else:
-                free, first, count, depth = capacity, packs, left, 0
-                packs += left
-            used = min(left, count)
+        while left and room and -room[0][0] >= length:
+            free, first, count, depth = heapq.heappop(room)
+            free, used = -free, min(left, count)
             mine.append((rank, first, depth, capacity - free))
             if free > length:
                 heapq.heappush(room, (length - free, first, used, depth + 1))
             if used < count:
                 heapq.heappush(room, (-free, first + used, count - used, depth))
             rank, left = rank + used, left - used
+        # no room anywhere: as many of this length as a new pack holds, in full packs and one rest
+        most = capacity // length
+        for each, count in ((most, left // most), (left % most, 1)):
+            if each and count:
+                mine += [(rank + j * count, packs, j, j * length) for j in range(each)]
+                if capacity > each * length:
+                    heapq.heappush(room, (each * length - capacity, packs, count, each))
+                rank, packs = rank + each * count, packs + count
         entries[length] = mine
     return entries, packs
 
