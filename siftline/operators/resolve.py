@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.columns import strip, usable
+from siftline.operators.skew import salted_join
 
 
 def winner_order(protected: Column, sticky: Column, matches: Column, rank: Column, key: Column) -> list[Column]:
@@ -20,12 +21,17 @@ def winner_order(protected: Column, sticky: Column, matches: Column, rank: Colum
     return [~yes(protected), ~yes(sticky), ~yes(matches), rank, key]
 
 
-def ranked(df: DataFrame, identity: str, order: list[Column], protected: Column) -> DataFrame:
-    """Rows of groups of two and more with `rn` (1: winner), `n_group` and `skipped` (several protected rows)."""
-    w = Window.partitionBy(identity)
-    df = df.where(F.col(identity).isNotNull())
-    df = df.withColumns({"rn": F.row_number().over(w.orderBy(*order)).cast("bigint"), "n_group": F.count("*").over(w), "n_protected": F.count_if(F.coalesce(protected, F.lit(False))).over(w)})
-    return df.where(F.col("n_group") > 1).withColumn("skipped", F.col("n_protected") > 1).drop("n_protected")
+def ranked(df: DataFrame, identity: str, order: list[Column], protected: Column, row_id: str) -> DataFrame:
+    """Rows of groups of two and more with `is_winner`, `n_group` and `skipped` (several protected rows).
+
+    The winner is a min-aggregate over (order, id); a group too large for one
+    task is spread over several when its rows get their flags.
+    """
+    rows = df.where(F.col(identity).isNotNull())
+    first = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col(row_id).alias("id"))
+    groups = rows.groupBy(identity).agg(F.min(first).getField("id").alias("__w"), F.count("*").alias("n_group"), F.count_if(F.coalesce(protected, F.lit(False))).alias("__p"))
+    groups = groups.where(F.col("n_group") > 1).select(identity, "__w", "n_group", (F.col("__p") > 1).alias("skipped"))
+    return salted_join(rows, groups, [identity], "n_group", spread=F.xxhash64(row_id)).withColumn("is_winner", F.col(row_id) == F.col("__w")).drop("__w")
 
 
 def first_seen(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -44,7 +50,7 @@ def inherited(groups: DataFrame, identity: str, row_id: str, key: str, fields: l
     `groups` is the output of `ranked`; protected winners inherit nothing.
     """
     rows = groups.where(~F.col("skipped"))
-    win = rows.where(F.col("rn") == 1).select(identity, F.col(row_id).alias("survivor"), F.coalesce(protected, F.lit(False)).alias("__p"), *[usable(F.col(f)).alias("__own_" + f) for f in fields])
+    win = rows.where("is_winner").select(identity, F.col(row_id).alias("survivor"), F.coalesce(protected, F.lit(False)).alias("__p"), *[usable(F.col(f)).alias("__own_" + f) for f in fields])
     firsts = rows.groupBy(identity).agg(*[F.min_by(F.when(usable(F.col(f)), F.col(row_id)), F.when(usable(F.col(f)), F.col(key))).alias("__donor_" + f) for f in fields])
     both = win.join(firsts, identity)
     told = [F.struct(F.lit(f).alias("field_name"), F.when(F.col("__own_" + f), F.col("survivor")).when(~F.col("__p"), F.col("__donor_" + f)).alias("donor")) for f in fields]
@@ -54,8 +60,11 @@ def inherited(groups: DataFrame, identity: str, row_id: str, key: str, fields: l
 def folded_notes(groups: DataFrame, identity: str, row_id: str, key: str, notes: str, frozen: Column) -> DataFrame:
     """(identity, survivor, notes, n_merged): the winner's notes with each loser's, in key order, unless already contained."""
     rows = groups.where(~F.col("skipped"))
-    win = rows.where(F.col("rn") == 1).select(identity, F.col(row_id).alias("survivor"), F.coalesce(notes, F.lit("")).alias("__n"), F.coalesce(frozen, F.lit(False)).alias("__f"))
-    lost = rows.where((F.col("rn") > 1) & (F.coalesce(notes, F.lit("")) != "")).groupBy(identity).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(notes).alias("t")))).alias("__l"))
+    win = rows.where("is_winner").select(identity, F.col(row_id).alias("survivor"), F.coalesce(notes, F.lit("")).alias("__n"), F.coalesce(frozen, F.lit(False)).alias("__f"))
+    lost = rows.where(~F.col("is_winner") & (F.coalesce(notes, F.lit("")) != ""))
+    # of equal notes only the first can be appended: any later one is contained by then
+    lost = lost.groupBy(identity, F.col(notes).alias("t")).agg(F.min(key).alias("k"))
+    lost = lost.groupBy(identity).agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("__l"))
     both = win.join(lost, identity, "left").withColumn("__l", F.when(~F.col("__f"), F.col("__l")))
     start = F.struct(F.col("__n").alias("t"), F.lit(0).cast("bigint").alias("n"))
 
@@ -72,10 +81,13 @@ def folded_notes(groups: DataFrame, identity: str, row_id: str, key: str, notes:
 def merge_report(groups: DataFrame, identity: str, fills: DataFrame, notes: DataFrame) -> DataFrame:
     """One row of counters: groups merged and skipped, rows dropped, notes merged, fields inherited."""
     g = groups.groupBy(identity).agg(F.first("skipped").alias("skipped"), F.first("n_group").alias("n"))
+    zero = lambda *names: [F.lit(0).cast("bigint").alias(n) for n in names]
     a = g.agg(F.count_if(~F.col("skipped")).alias("groups_merged"), F.coalesce(F.sum(F.when(~F.col("skipped"), F.col("n") - 1)), F.lit(0)).cast("bigint").alias("rows_dropped"), F.count_if("skipped").alias("groups_skipped"))
     b = notes.agg(F.coalesce(F.sum("n_merged"), F.lit(0)).cast("bigint").alias("notes_merged"))
     c = fills.agg(F.count_if(F.col("donor") != F.col("survivor")).alias("fields_inherited"))
-    return a.crossJoin(b).crossJoin(c)  # three rows of one each
+    names = [*a.columns, *b.columns, *c.columns]
+    rows = a.select("*", *zero(*b.columns, *c.columns)).unionByName(b.select("*", *zero(*a.columns, *c.columns))).unionByName(c.select("*", *zero(*a.columns, *b.columns)))
+    return rows.agg(*[F.sum(n).alias(n) for n in names])
 
 
 def lookup(probes: DataFrame, probe_identity: str, table: DataFrame, identity: str, key: str, out: str) -> DataFrame:

@@ -127,7 +127,7 @@ def _state(spark: SparkSession, d: str) -> DataFrame:
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     state = _state(spark, d).withColumn("norm", C.url_identity(F.col("cfp_url")))
     order = resolve.winner_order(F.col("user_actioned"), F.col("shown_in_brief"), C.source_matches(F.col("source"), F.col("cfp_url"), HOSTS), C.source_rank(F.col("source"), PRIORITY), F.col("slug"))
-    return resolve.ranked(state, "norm", order, F.col("user_actioned"))
+    return resolve.ranked(state, "norm", order, F.col("user_actioned"), "ord")
 
 
 # --- scalar functions -------------------------------------------------------------------
@@ -279,9 +279,9 @@ def pool_merge(spark, d):
 
 
 # --- resolution ----------------------------------------------------------------------------
-@query(f"WITH {_RANKED} SELECT ord, norm, rn, n_group, skipped FROM groups")
+@query(f"WITH {_RANKED} SELECT ord, norm, rn = 1 AS is_winner, n_group, skipped FROM groups")
 def url_winner(spark, d):
-    return _groups(spark, d).select("ord", "norm", "rn", "n_group", "skipped")
+    return _groups(spark, d).select("ord", "norm", "is_winner", "n_group", "skipped")
 
 
 _FILL = " UNION ALL ".join(f"SELECT norm, '{f}' AS field_name, max(ord) FILTER (rn = 1) AS survivor, CASE WHEN bool_or({s_usable(f)}) FILTER (rn = 1) THEN max(ord) FILTER (rn = 1) WHEN NOT bool_or(coalesce(user_actioned, false)) FILTER (rn = 1) THEN min_by(ord, slug) FILTER ({s_usable(f)}) END AS donor FROM groups WHERE NOT skipped GROUP BY norm" for f in ("name", "city", "conf_date"))

@@ -17,11 +17,11 @@ STATE = "ord bigint, slug string, cfp_url string, source string, name string, ci
 def groups(spark, rows):
     df = spark.createDataFrame(rows, STATE).withColumn("norm", C.url_identity(F.col("cfp_url")))
     order = resolve.winner_order(F.col("user_actioned"), F.col("shown_in_brief"), C.source_matches(F.col("source"), F.col("cfp_url"), HOSTS), C.source_rank(F.col("source"), PRIO), F.col("slug"))
-    return resolve.ranked(df, "norm", order, F.col("user_actioned"))
+    return resolve.ranked(df, "norm", order, F.col("user_actioned"), "ord")
 
 
 def winner(spark, rows):
-    return [r["slug"] for r in groups(spark, rows).where("rn = 1 and not skipped").collect()]
+    return [r["slug"] for r in groups(spark, rows).where("is_winner and not skipped").collect()]
 
 
 U = "https://sessions.example/x"
