@@ -83,10 +83,10 @@ def mixed(rows: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     chosen = rows.join(extra, "row_id", "left").select("row_id", "source", "n_tokens", (F.col("passes") + F.coalesce("__one", F.lit(0))).alias("n_repeats")).where(F.col("n_repeats") > 0)
     chosen = checkpointed(chosen)
     reached = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_repeats")).alias("reached_tokens"), F.count("*").alias("n_texts"), F.max("n_repeats").alias("most_repeats"))
-    whole = chosen.agg(F.sum(F.col("n_tokens") * F.col("n_repeats")).alias("whole"))
-    report = table.select("source", "target_share", "max_repeats", "available_tokens", F.round("target_tokens").cast("bigint").alias("target_tokens")).join(reached, "source", "left").crossJoin(F.broadcast(whole))  # one row
+    whole = F.lit(chosen.agg(F.sum(F.col("n_tokens") * F.col("n_repeats"))).first()[0] or 1)
+    report = table.select("source", "target_share", "max_repeats", "available_tokens", F.round("target_tokens").cast("bigint").alias("target_tokens")).join(reached, "source", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    report = report.select("source", "target_share", "max_repeats", "available_tokens", "target_tokens", zero("reached_tokens").alias("reached_tokens"), zero("n_texts").alias("n_texts"), zero("most_repeats").alias("most_repeats"), F.round(zero("reached_tokens") / F.greatest(zero("whole"), F.lit(1)), 6).alias("reached_share"))
+    report = report.select("source", "target_share", "max_repeats", "available_tokens", "target_tokens", zero("reached_tokens").alias("reached_tokens"), zero("n_texts").alias("n_texts"), zero("most_repeats").alias("most_repeats"), F.round(zero("reached_tokens") / whole, 6).alias("reached_share"))
     return chosen, report
 
 
