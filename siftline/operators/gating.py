@@ -113,3 +113,26 @@ def is_stale(last_verified: Column, failed: Column, as_of: Column, days: int = 7
 
 def urgency(days: Column) -> Column:
     return F.when(days <= 3, "now").when(days <= 7, "week").when(days <= 31, "month").otherwise("later")
+
+
+def suppressed(df: DataFrame, last_verified: str, failed: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(shown, held back): rows that may be shown, and those for the suppression log."""
+    stale = is_stale(F.col(last_verified), F.col(failed), as_of)
+    return df.where(~stale), df.where(stale)
+
+
+def emphasised(verified_this_run: Column, end: Column, now: Column, hours: int = 48) -> Column:
+    """Whether a row deserves emphasis: verified in this run and ending within the hours."""
+    left = F.unix_timestamp(F.try_to_timestamp(end)) - F.unix_timestamp(now)
+    return F.coalesce(verified_this_run, F.lit(False)) & F.coalesce(left.between(0, hours * 3600), F.lit(False))
+
+
+def heartbeat_fresh(last_checked: Column, since: Column) -> Column:
+    """Whether the freshness marker reads and is not before `since`."""
+    return F.coalesce(F.try_to_timestamp(last_checked) >= F.try_to_timestamp(since), F.lit(False))
+
+
+def freshness_stamp(config: dict, advance: bool, now: str) -> dict:
+    """The config with its freshness marker moved on, or with the mark of a refused run."""
+    rest = {k: v for k, v in config.items() if k != "_last_checked_skipped"}
+    return rest | {"_last_checked": now} if advance else rest | {"_last_checked_skipped": now}

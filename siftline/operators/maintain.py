@@ -101,3 +101,28 @@ def tier(source: Column, name: Column, trusted: list[str], blocked: Column) -> C
 def interests_to_store(policy: Column, matched: Column, stored: Column, protected: Column) -> Column:
     """NULL without a policy, an empty list for no match, protected rows as they were."""
     return F.when(F.coalesce(protected, F.lit(False)), stored).when(policy, F.coalesce(matched, F.expr("cast(array() as array<string>)")))
+
+
+def with_feedback(state: DataFrame, commands: DataFrame, key: str) -> DataFrame:
+    """The state after users' commands (key, status, remind_before_days, drop), the last per key by `ord`.
+
+    A command marks its row as decided by a user; `drop` deletes it; unknown keys do nothing.
+    """
+    last = commands.groupBy(key).agg(F.max_by(F.struct("status", "remind_before_days", "drop"), "ord").alias("__c"))
+    rows = state.join(last, key, "left").where(~F.coalesce(F.col("__c.drop"), F.lit(False)))
+    told = F.col("__c").isNotNull()
+    return rows.withColumns({
+        "status": F.coalesce("__c.status", "status"), "remind_before_days": F.coalesce("__c.remind_before_days", "remind_before_days"),
+        "user_actioned": F.when(told, True).otherwise(F.col("user_actioned")),
+    }).drop("__c").select(*state.columns)
+
+
+def note_violations(state: DataFrame, status: str, notes: str, prefixes: list[str], banned: list[str]) -> DataFrame:
+    """Dismissed rows whose note begins with no approved prefix or names a banned reason."""
+    text = F.coalesce(F.col(notes), F.lit(""))
+    starts, has = F.lit(False), F.lit(False)
+    for p in prefixes:
+        starts |= text.startswith(p)
+    for b in banned:
+        has |= F.contains(F.lower(text), F.lit(b.lower()))
+    return state.where((F.col(status) == "dismissed") & (~starts | has))
