@@ -217,10 +217,11 @@ def deduplicated(df: DataFrame, row_id: str, batch: str, slug: str, url: str) ->
     folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
     index = SegmentIndex(spark, folder + "/index")
     for n in sorted(r[0] for r in df.select(batch).distinct().collect() if r[0] is not None):  # one job per batch, as they come
-        keys = keyed(df.where(F.col(batch) == n), row_id, slug, url)
+        keys = keyed(df.where(F.col(batch) == n), row_id, slug, url).persist()  # one batch, read three times; a lost part is made again
         place = f"{folder}/found/batch={n}"
         index.matches(keys).write.mode("overwrite").parquet(place)
         index.append(keys, spark.read.schema("row_id bigint, root bigint").parquet(place))
+        keys.unpersist()
     if not index.filled:
         return spark.createDataFrame([], "earlier_id bigint, row_id bigint")
     return spark.read.schema("row_id bigint, root bigint").option("recursiveFileLookup", "true").parquet(folder + "/found").select(F.col("root").alias("earlier_id"), "row_id")
