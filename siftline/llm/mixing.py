@@ -53,6 +53,8 @@ def mixed(rows: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     config = targets.limit(MAX_TARGETS + 1).collect()
     if len(config) > MAX_TARGETS:
         raise ValueError("more target sources than a config table may hold")
+    rows = rows.select("row_id", "source", "n_tokens", "weight")
+    targets = targets.select("source", "target_share", "max_repeats")
     known = rows.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).withColumn("weight", F.coalesce("weight", F.lit(1.0)))
     stats = {r["source"]: r for r in known.join(F.broadcast(targets.select("source").distinct()), "source").groupBy("source").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n"), F.avg("weight").alias("w")).collect()}
     total = total if total is not None else (known.agg(F.sum("n_tokens")).first()[0] or 0)

@@ -71,3 +71,9 @@ def test_quality(spark):
     df = spark.createDataFrame([("plain words " * 40,), ("",), (None,), ("1234567890" * 40,), ("a" * 100_000,)], "t string").select(X.quality(F.coalesce("t", F.lit(""))).alias("q"))
     q = [r["q"] for r in df.collect()]
     assert q[0] == 1.0 and q[1] == q[2] == q[3] == 0.05 and q[4] == 1.0 and not any(math.isnan(v) for v in q)
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = spark.createDataFrame([(1, "s", 5, 1.0, "a", "b", "c"), (2, "s", 5, 1.0, "a", "b", "c")], ROWS + ", key string, rest string, parts string")
+    targets = spark.createDataFrame([("s", 1.0, 1, "x")], TARGETS + ", weight string")
+    assert {r["row_id"] for r in X.mixed(rows, targets)[0].collect()} == {1, 2}
