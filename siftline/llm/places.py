@@ -77,6 +77,15 @@ def allowed(length: int) -> int:
     return 0 if length < 5 else 1 if length < 7 else 2
 
 
+def writings(name: str) -> list[str]:
+    """A folded name, and the short writings of names with a small word inside: without it, and by initials from there on."""
+    words = name.split()
+    out = [name] if name else []
+    if len(words) == 3 and len(words[1]) <= 3 < len(words[0]):
+        out += [f"{words[0]} {words[2]}", f"{words[0]} {words[1][0]} {words[2][0]}"]
+    return out
+
+
 class Gazetteer:
     """The list, its automaton and its near-writing table; `entries` are (id, name, alias or None, region or None, country, code)."""
 
@@ -92,8 +101,8 @@ class Gazetteer:
         self.regions: dict[str, set] = {}
         for i, name, alias, region, country, code in entries:
             for n in (name, alias):
-                if n and folded(n):
-                    self.names.setdefault(folded(n), set()).add(i)
+                for w in writings(folded(n)) if n else ():
+                    self.names.setdefault(w, set()).add(i)
             if country:
                 self.lands[folded(country)] = country
             if code:
@@ -153,9 +162,11 @@ class Gazetteer:
     def _words(text: str) -> list[str]:
         return [w for w in folded(text).split() if not w.isdigit()]
 
-    def fuzzy_lands(self, words: list[str]) -> set[str]:
+    def fuzzy_lands(self, words: list[str]) -> dict[str, int]:
+        """Countries that the words may be a misspelling of, with the edits."""
         text = "".join(words)
-        return {c for n, c in self.lands.items() if edits(text, n.replace(" ", ""), allowed(len(text))) <= allowed(len(text))}
+        found = {c: edits(text, n.replace(" ", ""), allowed(len(text))) for n, c in self.lands.items()}
+        return {c: d for c, d in found.items() if d <= allowed(len(text))}
 
     def resolve(self, value: str | None) -> tuple[int | None, str]:
         """(id, how): how is ``mention``, ``similar``, ``ambiguous``, ``country`` or ``none``."""
@@ -184,10 +195,10 @@ class Gazetteer:
                 for words in ([p, core] if core != p else [p]):
                     if not words:
                         continue
-                    if land := self.fuzzy_lands(words):
-                        lands |= land
+                    got, land = self.near_names(" ".join(words)), self.fuzzy_lands(words)
+                    if land and (not got or min(land.values()) <= got[0][0]):
+                        lands |= set(land)
                         break
-                    got = self.near_names(" ".join(words))
                     best = [n for d, n in got if d == got[0][0]]
                     for n in best:
                         named[n] = min(named.get(n, 9), got[0][0])
@@ -198,7 +209,7 @@ class Gazetteer:
                 candidates = [set().union(*(self.names[n] for n, d in named.items() if d == least))]
         else:
             for p in parts:
-                lands |= self.fuzzy_lands(p)
+                lands |= set(self.fuzzy_lands(p))
         if not candidates:
             return None, "country" if lands else "none"
         picked = set()

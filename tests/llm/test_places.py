@@ -17,7 +17,7 @@ def gaz():
     ("value", "expected"),
     [
         ("Tatasgrad", 5), ("tATASGRAD", 5), ("  Tatasgrad\xa0, Kvarn", 5), ("Tatasgrad & online", 5), ("Grand Hotel, Tatasgrad", 5), ("12345 Tatasgrad", 5), ("KV-Tatasgrad", 5), ("Kvarn / Tatasgrad", 5), ("Tatasgrad KV", 5),
-        ("Kalmhaven", 1), ("Pt. Kalmira", 1), ("port kalmira, NB, Union of Alda", 1), ("Greater Port Kalmira", 1), ("Tosgrad-on-Sea", 4), ("Tösgradd-on-Sea", 4), ("Tatsagrad, Kvran", 5), ("Nwe Lelford", 6), ("N. Lélford", 6),
+        ("Kalmhaven", 1), ("Pt. Kalmira", 1), ("port kalmira, NB, Union of Alda", 1), ("Greater Port Kalmira", 1), ("Tosgrad-on-Sea", 4), ("Tösgradd-on-Sea", 4), ("Tösgrad o.S.", 4), ("Tösgrad/Sea", 4), ("Tatsagrad, Kvran", 5), ("Nwe Lelford", 6), ("N. Lélford", 6),
         ("Nerara", None), ("Nerara, Aotia", 2), ("Nerara IN", 3), ("Nerara, KR", 3), ("Tatasgrad, Indra", None), ("Tatasgradkirk", None), ("Kvarn", None), ("online", None), ("", None), ("   ", None), (None, None), ("???", None), ("Tatasgrad / Port Kalmira", None), ("Tatasgrad " * 20_000, 5),
     ],
 )
