@@ -167,10 +167,24 @@ def strip_stale(notes: Column) -> Column:
     return F.regexp_replace(notes, STALE, "")
 
 
+#: An ISO date, extended or basic, and what may follow it: time, fraction, Z or offset.
+INSTANT = r"^(\d{4})-?(\d{2})-?(\d{2})(?:[Tt ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(?:[zZ]|([+-])(\d{2}):?(\d{2})?)?)?$"
+
+
+def utc_instant(c: Column) -> Column:
+    """Naive UTC timestamp of an ISO date or instant (no zone: UTC), else NULL; the session's zone has no part in it."""
+    c = F.when(c.rlike(r"^(?:\d{4}-\d{2}-\d{2}|\d{8})(?:[^\d-]|$)"), c)
+    part = lambda i: F.regexp_extract(c, INSTANT, i)
+    num = lambda i: F.coalesce(F.nullif(part(i), F.lit("")).cast("int"), F.lit(0))
+    two = lambda i: F.lpad(part(i), 2, "0")
+    local = F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit("T"), two(4), F.lit(":"), two(5), F.lit(":"), two(6), F.lit("."), F.rpad(part(7), 6, "0")).try_cast("timestamp_ntz")
+    minutes = F.when((num(9) < 24) & (num(10) < 60), F.when(part(8) == "-", -1).otherwise(1) * (num(9) * 60 + num(10)))
+    return local - F.make_dt_interval(mins=minutes)
+
+
 def open_until(end: Column, as_of: Column) -> Column:
     """Whether an ISO instant (no zone: UTC) lies after `as_of`, a naive UTC timestamp; false when it can't be read."""
-    t = F.regexp_replace(end, r"[zZ]$", "")
-    return F.coalesce(F.try_to_timestamp(F.regexp_replace(t, r"(\.\d{6})\d+", "$1")).cast("timestamp_ntz") > as_of, F.lit(False))
+    return F.coalesce(utc_instant(end) > as_of, F.lit(False))
 
 
 def url_quoted(c: Column) -> Column:

@@ -201,6 +201,12 @@ def open_until(spark, d):
     return read(spark, d, "event_results").select("check_id", C.open_until(t, F.lit(AS_OF + " 00:00:00").cast("timestamp_ntz")).alias("is_open"))
 
 
+@query(None)
+def open_until_iso(spark, d):
+    """The same over every ISO date and instant; `open_until` reads the one shape that its SQL reads."""
+    return read(spark, d, "event_results").select("check_id", C.open_until(F.col("cfp_end_local"), F.lit(AS_OF + " 00:00:00").cast("timestamp_ntz")).alias("is_open"))
+
+
 # --- filters and gates -------------------------------------------------------------------
 _VIRTUAL = "|".join(gating.VIRTUAL)
 @query(f"SELECT ord, coalesce(regexp_matches(lower(city), '{_VIRTUAL}'), false) OR coalesce(regexp_matches(lower(name), '{_VIRTUAL}'), false) OR NOT {s_usable('city')} AS is_virtual FROM cfp_state")
