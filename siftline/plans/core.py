@@ -249,12 +249,35 @@ def _trips(spark: SparkSession, d: str) -> DataFrame:
     return days.where((F.col("end") >= F.col("start")) & F.col("start").between(as_of(), F.date_add(as_of(), 60))).groupBy("start", "end").agg(F.min("check_id").alias("trip"))
 
 
+def _all_trips(spark: SparkSession, d: str) -> DataFrame:
+    """Every valid interval of the events once, whenever it starts."""
+    days = read(spark, d, "event_results").select("check_id", C.iso_date(F.col("conf_start")).alias("start"), C.iso_date(F.col("conf_end")).alias("end"))
+    return days.where(F.col("end") >= F.col("start")).groupBy("start", "end").agg(F.min("check_id").alias("trip"))
+
+
 @query(f"""WITH {_TRIPS}
   SELECT s.ord, min_by(trips.check_id, (trips.a, trips.check_id)) AS trip FROM cfp_state s JOIN trips ON {s_iso('s.conf_date')} <= trips.b AND {s_iso('s.conf_date')} + 4 >= trips.a GROUP BY s.ord""")
 def trip_flags(spark, d):
     return gating.first_overlap(_state(spark, d), "ord", C.iso_date(F.col("conf_date")), gating.CONFERENCE_DAYS, _trips(spark, d), "trip")
 
 
+@query(None)
+def trip_flags_all(spark, d):
+    """Every state row with the earliest trip of all that it meets; open and approved ones that meet one become conflicts, those without an exact date get a caveat.
+
+    `trip_flags` knows the trips of its SQL only, and only the rows that meet one.
+    """
+    state = _state(spark, d).withColumn("day", C.flexible_date(F.col("conf_date")))
+    # rows of one day meet the same trips: the interval join sees each day once
+    met = gating.first_overlap(state.select("day").distinct(), "day", F.col("day"), gating.CONFERENCE_DAYS, _all_trips(spark, d).withColumn("trip", F.struct("trip", "start", "end")), "trip")
+    rows = state.join(met, "day", "left")
+    alive, t = F.coalesce(F.col("status").isin(EXPIRABLE), F.lit(False)), F.col("trip")
+    hit = alive & t.isNotNull()
+    note = F.when(hit, F.concat(F.lit("Travel conflict: overlaps with "), t["trip"].cast("string"), F.lit(" ("), t["start"].cast("string"), F.lit(" – "), t["end"].cast("string"), F.lit(").")))
+    note = note.when(alive & F.col("day").isNull(), "Could not verify travel conflict — exact conference dates unknown.")
+    return rows.select("ord", t["trip"].alias("trip"), F.when(hit, "conflict").otherwise(F.col("status")).alias("status"), F.when(note.isNotNull(), C.append_note(F.col("bot_notes"), note)).otherwise(F.col("bot_notes")).alias("bot_notes"))
+
+
 @query("""SELECT count(*) AS seen, count(slug) AS with_key, count(*) FILTER (slug IS NULL) AS skipped_no_key, count(*) FILTER (known) AS skipped_existing, count(*) FILTER (slug IS NOT NULL AND NOT known) AS new_keys
   FROM (SELECT i.slug, s.slug IS NOT NULL AS known FROM cfp_intake i LEFT JOIN (SELECT DISTINCT slug FROM cfp_state) s ON i.slug = s.slug)""")
 def new_keys_report(spark, d):
@@ -505,15 +528,25 @@ kept AS (SELECT c.* FROM slugged c LEFT JOIN cfp_state s ON c.slug = s.slug
   AND NOT ({" OR ".join(f"starts_with(lower(c.name), '{p.lower()}')" for p in PREFIXES)}) AND CASE WHEN s.status IN ({_HID}) THEN false WHEN s.status = 'remind' THEN days_left <= coalesce(s.remind_before_days, 7) ELSE true END)"""
 
 
-@query(f"WITH {_CAND} SELECT ord, name, city, conf_date, cfp_url, deadline, slug, CAST(days_left AS INT) AS days_left FROM (SELECT *, row_number() OVER (PARTITION BY {s_strip('lower(name)')} ORDER BY feed, ord) AS rn FROM kept) WHERE rn = 1")
-def cfp_pipeline(spark, d):
+def _pipeline(spark: SparkSession, d: str, trips: DataFrame) -> DataFrame:
     a = feed_a_candidates(read(spark, d, "feed_a_entries"), F.lit(NOW_MS), "entry_id").withColumn("feed", F.lit(0))
     b = feed_b_candidates(read(spark, d, "feed_b_entries"), as_of(), "entry_id").withColumn("feed", F.lit(1))
     rows = a.unionByName(b)
     rows = rows.withColumns({"slug": C.slug_of(F.col("name"), F.col("conf_date"), F.col("deadline"), as_of()), "days_left": C.days_left(F.col("deadline"), as_of())})
     rows = rows.where(~gating.is_virtual(F.col("name"), F.col("city")) & ~gating.in_regions(F.col("city"), REGIONS) & (F.col("days_left") >= 0))
-    rows = gating.overlapping(rows, C.iso_date(F.col("conf_date")), gating.CONFERENCE_DAYS, _trips(spark, d))
+    rows = gating.overlapping(rows, C.iso_date(F.col("conf_date")), gating.CONFERENCE_DAYS, trips)
     rows = gating.without_prefixes(rows, "name", spark.createDataFrame([(p,) for p in PREFIXES], "p string"))
     rows = gating.state_gate(rows, _state(spark, d), "slug", as_of(), HIDDEN, "remind")
     rows = resolve.first_seen(rows, resolve.name_key(F.col("name")), [F.col("feed"), F.col("ord")])
     return rows.select("ord", "name", "city", "conf_date", "cfp_url", "deadline", "slug", "days_left").orderBy(F.coalesce("deadline", F.lit("9999-99-99")), "ord")
+
+
+@query(f"WITH {_CAND} SELECT ord, name, city, conf_date, cfp_url, deadline, slug, CAST(days_left AS INT) AS days_left FROM (SELECT *, row_number() OVER (PARTITION BY {s_strip('lower(name)')} ORDER BY feed, ord) AS rn FROM kept) WHERE rn = 1")
+def cfp_pipeline(spark, d):
+    return _pipeline(spark, d, _trips(spark, d))
+
+
+@query(None)
+def cfp_pipeline_all_trips(spark, d):
+    """The same against all trips; `cfp_pipeline` knows those of its SQL only."""
+    return _pipeline(spark, d, _all_trips(spark, d))
