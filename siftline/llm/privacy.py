@@ -253,7 +253,8 @@ def named(docs: DataFrame, doc_id: str, text: str, given: DataFrame, family: Dat
                         first = m
                         if m[0].isupper() or t[m.end()] == ".":
                             out.append((i, first.start(), nxt.end(), "if", None, key(nxt[0]), nxt[0][0].isupper()))
-                    elif len(m[0]) > 2 and nxt and len(nxt[0]) == 1 and re.fullmatch(rf",{S}", t[m.end() : nxt.start()]) and t[nxt.end() : nxt.end() + 1] == ".":
+                    # 'Family, I.' has no given name: whether the word is one doesn't matter
+                    if len(m[0]) > 2 and nxt and len(nxt[0]) == 1 and re.fullmatch(rf",{S}", t[m.end() : nxt.start()]) and t[nxt.end() : nxt.end() + 1] == ".":
                         out.append((i, m.start(), nxt.end() + 1, "fi", None, key(m[0]), m[0][0].isupper()))
             got = pd.DataFrame(out, columns=["doc_id", "s", "e", "form", "g", "f", "upper"])
             for c, kind in (("doc_id", "Int64"), ("s", "Int32"), ("e", "Int32")):
