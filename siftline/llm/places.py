@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -35,6 +36,8 @@ NOISE = frozenset(
     "online virtual remote hybrid event worldwide everywhere and or in at near greater metro area region city centre center downtown campus main old harbour harbor".split()
     + "hall hotel park tech congress expo university grand mill convention conference stream streamed live utc gmt via zoom webinar onsite the".split()
 )
+#: Words of values that name no place.
+NOWHERE = frozenset("several cities ship various tba tbd tbc unknown announced none null".split())
 #: Short writings of the first words of names.
 SHORT = {"pt": "port", "st": "sankt", "skt": "sankt", "sankt": "sankt", "saint": "sankt", "n": "new", "nw": "new", "neo": "new", "prt": "port"}
 
@@ -120,6 +123,16 @@ class Gazetteer:
             for t in deletions(whole, allowed(len(whole))):
                 self.near.setdefault(t, set()).add(n)
 
+        self.holding: dict[str, set[str]] = {}
+        for n in self.names:
+            for w in n.split():
+                self.holding.setdefault(w, set()).add(n)
+        self.near_words: dict[str, set[str]] = {}
+        for w in self.holding:
+            for t in deletions(w, allowed(len(w))):
+                self.near_words.setdefault(t, set()).add(w)
+        self.longest = max(map(len, self.holding), default=0)
+
     def mentions(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, name) of the longest mentions that don't overlap, left to right among equals."""
         if not (self.names or self.lands):
@@ -149,7 +162,39 @@ class Gazetteer:
             d = edits(whole, n.replace(" ", ""), min(most, allowed(len(n.replace(" ", "")))))
             if d <= most and self._token_set(part.split(), n.split()):
                 out.append((d, n))
-        return sorted(out)
+        return sorted(out) or self._by_words(part.split())
+
+    def _by_words(self, words: list[str]) -> list[tuple[int, str]]:
+        """(edits, name) of the names all of whose words are among the words, in any order and with others between; those of most words only."""
+        close: dict[str, list[tuple[int, str]]] = {}
+        for w in dict.fromkeys(words):
+            most = allowed(len(w))
+            if w in NOWHERE or len(w) > self.longest + most:
+                continue
+            for x in set().union(*(self.near_words.get(t, ()) for t in deletions(w, most))):
+                d = edits(w, x, min(most, allowed(len(x))))
+                if d <= min(most, allowed(len(x))):
+                    close.setdefault(x, []).append((d, w))
+        count, out = Counter(words), []
+
+        def least(left: list[str]) -> int | None:
+            if not left:
+                return 0
+            costs = []
+            for d, w in close[left[0]]:
+                if count[w]:
+                    count[w] -= 1
+                    rest = least(left[1:])
+                    count[w] += 1
+                    costs += [] if rest is None else [d + rest]
+            return min(costs, default=None)
+
+        for n in set().union(*(self.holding[x] for x in close)):
+            own = n.split()
+            if all(x in close for x in own) and (d := least(own)) is not None:
+                out.append((len(own), d, n))
+        most = max((k for k, _, _ in out), default=0)
+        return sorted((d, n) for k, d, n in out if k == most)
 
     @staticmethod
     def _token_set(a: list[str], b: list[str]) -> bool:
