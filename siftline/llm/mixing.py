@@ -5,7 +5,7 @@ come first, at most `max_repeats` of them, and the rest is drawn by
 Efraimidis-Spirakis sampling: each text gets an exponential key scaled by its
 quality weight, texts are ordered by key within their source, and a running sum
 of their sizes is cut at the budget.  Where a large text crosses it, the texts
-after it in key order that still fit fill the rest, FILLS times over in all.
+after it in key order that still fit fill the rest, again and again until none fits.
 
 The running sum works in ranges of keys, so a source with a third of all rows is
 summed by many tasks.
@@ -19,6 +19,7 @@ budget is exceeded; ties of keys go to the smaller id; ids are unique; the draw
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from siftline.sources.tables import read
 
 #: Target sources come from a config table; a larger one is refused, not cut.
 MAX_TARGETS = 10_000
+#: Rounds of filling that are drawn without asking whether the last one took anything.
 FILLS = 3
 
 
@@ -74,10 +76,12 @@ def mixed(rows: DataFrame, targets: DataFrame, total: int | None = None, seed: i
     rows = checkpointed(rows.withColumn("__range", bucket))
     drawn = rows.where(F.col("rest") > 0).select("row_id", "source", "n_tokens", "key", "rest", "__range")
     takes = []
-    for _ in range(FILLS):
+    for k in count(1):
         summed = running_sum(drawn.where(F.col("n_tokens") <= F.col("rest")), ["source"], [F.col("key"), F.col("row_id")], F.col("n_tokens"), "__sum", F.col("__range"))
         take = checkpointed(summed.where(F.col("__sum") <= F.col("rest")).select("row_id", "source", "n_tokens"))
         takes.append(take)
+        if k >= FILLS and take.isEmpty():  # no text is left that fits
+            break
         # where a large text crossed the budget, those after it in key order fill what is left
         spent = take.groupBy("source").agg(F.sum("n_tokens").alias("__spent"))
         drawn = drawn.join(take.select("row_id"), "row_id", "left_anti").join(F.broadcast(spent), "source").withColumn("rest", F.col("rest") - F.col("__spent")).drop("__spent")
