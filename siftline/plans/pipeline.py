@@ -1,4 +1,9 @@
-"""One whole run: gates, discovery, verification, resolution, guarded commit and freshness, with one injected clock."""
+"""A run from given candidates: expiry, verification, resolution, guarded commit, evidence gate and freshness, with one injected clock.
+
+The caller brings candidates that have been discovered (`discover.open_candidates`)
+and gated (`gating.state_gate`, `overlapping`, `without_prefixes`, `is_virtual`,
+`in_regions`), and does interest matching and trip flags; no stage here does.
+"""
 
 from __future__ import annotations
 
