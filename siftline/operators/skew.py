@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,11 @@ PART_ROWS = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of its own where none is set, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share, the session's spark.checkpoint.dir; only a local session without it, as in tests, gets one of its own."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     return folder or _own_folder()
 
 
@@ -24,11 +28,16 @@ def _own_folder() -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder and read back, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """`df` as a compressed table in the shared folder, so that a lost executor costs no recomputation and its size is known to the planner."""
+    place = f"{shared_folder(df.sparkSession)}/siftline-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
+def removed(spark: SparkSession, place: str) -> None:
+    """Deletes a folder of intermediate data, on whatever file system it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "inner", part: int = PART_ROWS, spread: Column | None = None) -> DataFrame:
