@@ -4,19 +4,23 @@ A segment index for edit distance: the name part of every accepted key is cut
 into TAU + 1 segments that are stored by year, kind, length and position; a new
 key within TAU edits must share at least one of them unchanged, so a batch
 probes only the substrings that can line up, checks the edit distance of what it
-finds, and appends its own segments.  Index files are laid out by year and a
-batch reads only the years it names: accepted texts are never parsed again.
+finds, and appends the segments of writings the index doesn't hold yet.  The
+index lives in its folder: any later session goes on from there.  Files are laid
+out by year and bucket of the segment, and a batch reads only the buckets of the
+years it probes: accepted texts are never parsed again.
 
 A key is read from the slug and, where the address holds one, from the address:
 year, kind of event, name, place.  Different years never match, different kinds
 or places never match; a missing place matches the one place of that name and
 year.  An address that names its year, or is backed by the slug's year, matches
-by its identity (host and path) too.
+by its identity (host and path) too.  A name of fewer than 8 letters may differ
+by one edit per 4 letters only: two would make another word of it.
 
 Defined results: a row without slug and address, or whose values give no key,
-has no duplicates and enters no index; repeated rows within one batch are not
-compared with each other; ties go to fewer edits, then to the smaller id; very
-long keys are handled whole; an empty table gives no rows.
+has no duplicates and enters no index; a row without a batch is in no batch and
+has no duplicates either; repeated rows within one batch are not compared with
+each other and get one answer; ties go to fewer edits, then to the smaller id;
+very long keys are handled whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +28,15 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftline.operators.skew import shared_folder
+from siftline.operators.skew import removed, salted_join, shared_folder
 from siftline.sources.tables import read
 
 TAU = 2
@@ -175,56 +181,134 @@ def keyed(df: DataFrame, row_id: str, slug: str, url: str) -> DataFrame:
     return got.select("row_id", "k.*")
 
 
-INDEX = T.StructType([T.StructField(n, T.StringType()) for n in ("segment", "name", "place", "year")] + [T.StructField("root", T.LongType())])
+#: Segments of one bucket that a first batch aims at; an index keeps the number of buckets that it began with.
+BUCKET_ROWS, MOST_BUCKETS = 100_000, 1_024
+#: So many generations of one level are merged into one of the next: a row is rewritten log(batches) times.
+FAN = 6
+INDEX = T.StructType([*[T.StructField(n, T.StringType()) for n in ("segment", "name", "place", "batch")], T.StructField("root", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("gen", "year", "bucket")]])
 
 
 class SegmentIndex:
-    """The index of everything accepted so far, a Parquet folder laid out by year."""
+    """The index of everything accepted so far; whoever opens its folder, in whatever session, finds what was appended before.
+
+    The folder holds generations, each laid out by year and bucket of the
+    segment, and a batch reads only the buckets of the years it probes.  Rows
+    carry the label of their batch, which does not see them: a batch that is
+    taken in again after a failure gets the same answers.  Answers of `matches`
+    must be kept (written) before the next `append`, which may merge generations.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.filled = spark, folder, False
-
-    def matches(self, keys: DataFrame) -> DataFrame:
-        """(row_id, root): the accepted edition that each row of a batch repeats."""
-        if not self.filled:
-            return self.spark.createDataFrame([], "row_id bigint, root bigint")
-        years = [r[0] for r in keys.select("year").distinct().collect()]  # a batch names a handful of years
-        index = self.spark.read.schema(INDEX).parquet(self.folder).where(F.col("year").isin(years))
-        asked = keys.select("row_id", "year", F.col("name").alias("q"), F.col("place").alias("q_place"), F.explode("asked").alias("segment"))
-        found = asked.join(index, ["year", "segment"])
+        self.spark, self.folder = spark, folder
+
+    def _gens(self) -> list[str]:
+        """Generations as level-buckets-id, from the names of their folders."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n.removeprefix("gen=") for n in names if n.startswith("gen="))
+
+    def _rows(self, gens: str = "*", years: str = "*") -> DataFrame:
+        """What some generations hold of some years; only the folders named are listed."""
+        try:
+            return self.spark.read.schema(INDEX).option("basePath", self.folder).parquet(f"{self.folder}/gen={gens}/year={years}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], INDEX)
+
+    def matches(self, keys: DataFrame, batch: str) -> DataFrame:
+        """(row_id, root, known): the accepted edition that each row repeats, and which of its writings the index already holds for it."""
+        gens = self._gens()
+        if not gens:
+            return self.spark.createDataFrame([], "row_id bigint, root bigint, known array<string>")
+        asked = keys.select("row_id", "year", F.col("name").alias("q"), F.col("place").alias("q_place"), _writing().alias("writing"), F.explode("asked").alias("segment"))
+        asked = asked.withColumn("bucket", _bucket(int(gens[0].split("-")[1])))
+        probed: dict[str, list[str]] = {}
+        for year, bucket in asked.select("year", "bucket").distinct().collect():  # at most (years, 50) x (buckets, 1,024)
+            probed.setdefault(year, []).append(bucket)
+        inside = reduce(lambda a, b: a | b, [(F.col("year") == y) & F.col("bucket").isin(bs) for y, bs in probed.items()], F.lit(False))
+        index = self._rows(years="{" + ",".join(sorted(probed)) + "}").where(inside).where(F.col("batch") != batch).select("segment", "name", "place", "root", "year", "bucket")
+        found = asked.join(index, ["year", "bucket", "segment"])
         edits = F.levenshtein("q", "name", TAU)
         places = F.when((F.col("place") == "") | (F.col("q_place") == ""), TAU + 1).otherwise(F.levenshtein("place", "q_place", TAU))
         found = found.withColumns({"edits": edits, "place_edits": places}).where((F.col("edits") >= 0) & (F.col("place_edits") >= 0))
+        # short names have less room for edits, and with a drifted place there is room for one only
         found = found.where((F.col("edits") <= F.length("name") / 4) & (F.col("place_edits").isin(0, TAU + 1) | (F.col("edits") <= 1)))
-        best = found.groupBy("row_id", "root").agg(F.min(F.col("place_edits") + F.col("edits")).alias("cost"), F.min("place_edits").alias("place_edits"))
+        held = F.when((F.col("q") == F.col("name")) & (F.col("q_place") == F.col("place")), F.col("writing"))
+        best = found.groupBy("row_id", "root").agg(F.min(F.col("place_edits") + F.col("edits")).alias("cost"), F.collect_set(held).alias("known"))  # a row has a handful of writings
         ranked = best.groupBy("row_id").agg(
-            F.min(F.struct("cost", "root")).alias("m"),
+            F.min(F.struct("cost", "root", "known")).alias("m"),
             # without a place on one side, two editions that fit are no answer
             F.count_if(F.col("cost") > TAU).alias("open"), F.count_if(F.col("cost") <= TAU).alias("sure"),
         )
-        return ranked.where((F.col("sure") > 0) | (F.col("open") == 1)).select("row_id", F.col("m.root").alias("root"))
-
-    def append(self, keys: DataFrame, roots: DataFrame) -> None:
-        """Adds a batch's segments, each under the first arrival of its edition."""
-        rows = keys.join(roots, "row_id", "left").select(F.explode("stored").alias("segment"), "name", "place", F.coalesce("root", "row_id").alias("root"), "year")
-        rows.write.mode("append").partitionBy("year").parquet(self.folder)
-        self.filled = True
-
-
-def deduplicated(df: DataFrame, row_id: str, batch: str, slug: str, url: str) -> DataFrame:
-    """(earlier_id, row_id): arrivals whose edition an earlier batch holds, batch after batch against the index."""
+        return ranked.where((F.col("sure") > 0) | (F.col("open") == 1)).select("row_id", F.col("m.root").alias("root"), F.col("m.known").alias("known"))
+
+    def append(self, keys: DataFrame, answers: DataFrame, batch: str) -> None:
+        """Adds the segments of a batch's new writings, each under the first arrival of its edition; `answers` come from `matches`."""
+        gens = self._gens()
+        new = keys.join(answers.select("row_id", "root", "known"), "row_id", "left").where(~F.coalesce(F.array_contains("known", _writing()), F.lit(False)))
+        new = new.select(F.explode("stored").alias("segment"), "name", "place", F.lit(batch).alias("batch"), F.coalesce("root", "row_id").alias("root"), "year")
+        buckets = int(gens[0].split("-")[1]) if gens else min(MOST_BUCKETS, max(1, new.count() // BUCKET_ROWS))
+        # of equal writings in one batch the first arrival stands for all
+        new = new.groupBy("year", "segment", "name", "place", "batch").agg(F.min("root").alias("root"))
+        gens.append(self._write(new, 0, buckets))
+        level = 0
+        while len(ripe := [g for g in gens if g.startswith(f"{level:02d}-")]) >= FAN:
+            # a merge that breaks off leaves repeated rows, which change nothing
+            rows = self._rows("{" + ",".join(ripe) + "}").dropDuplicates(["year", "segment", "name", "place", "batch", "root"])
+            gens.append(self._write(rows, level + 1, buckets))
+            for g in ripe:
+                removed(self.spark, f"{self.folder}/gen={g}")
+            level += 1
+
+    def _write(self, rows: DataFrame, level: int, buckets: int) -> str:
+        gen = f"{level:02d}-{buckets}-{uuid.uuid4().hex}"
+        rows = rows.withColumn("bucket", _bucket(buckets)).select("segment", "name", "place", "batch", "root", "year", "bucket").repartition("year", "bucket").sortWithinPartitions("year", "bucket", "segment")
+        rows.write.option("compression", "zstd").partitionBy("year", "bucket").parquet(f"{self.folder}/gen={gen}")
+        return gen
+
+
+def _writing() -> Column:
+    return F.concat_ws("\u0001", "kind", "name", "place", "address")
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("segment"), F.lit(buckets)).cast("string")
+
+
+def deduplicated(df: DataFrame, row_id: str, batch: str, slug: str, url: str, index: SegmentIndex | None = None) -> DataFrame:
+    """(earlier_id, row_id): arrivals whose edition an earlier batch holds, batch after batch against the index.
+
+    With an `index` of its own the caller keeps the history: rows of a later
+    call are checked against all batches of earlier ones.
+    """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/history-{uuid.uuid4().hex}"
-    index = SegmentIndex(spark, folder + "/index")
-    for n in sorted(r[0] for r in df.select(batch).distinct().collect() if r[0] is not None):  # one job per batch, as they come
-        keys = keyed(df.where(F.col(batch) == n), row_id, slug, url).persist()  # one batch, read three times; a lost part is made again
+    index = index or SegmentIndex(spark, folder + "/index")
+    text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))
+    rows = df.select(F.col(f"`{row_id}`").cast("bigint").alias("row_id"), F.col(f"`{batch}`").alias("batch"), text(slug).alias("slug"), text(url).alias("url"))
+    rows = rows.where(F.col("batch").isNotNull() & ((F.col("slug") != "") | (F.col("url") != "")))
+    # rows of one batch with the same texts get one answer, however many they are
+    groups = rows.groupBy("batch", "slug", "url").agg(F.min("row_id").alias("first"), F.count("*").alias("n"))
+    groups.write.partitionBy("batch").parquet(folder + "/groups")  # a batch then reads its own rows only
+    groups = spark.read.schema(T.StructType([*groups.select("slug", "url", "first", "n").schema, groups.schema["batch"]])).parquet(folder + "/groups")
+    answer = "row_id bigint, root bigint, known array<string>"
+    batches = sorted(r[0] for r in groups.select("batch").distinct().collect())
+    for n in batches:  # one job per batch, as they come
+        mine = groups.where(F.col("batch") == n).select("first", F.nullif(F.substring("slug", 2, 1 << 30), F.lit("")).alias("slug"), F.nullif(F.substring("url", 2, 1 << 30), F.lit("")).alias("url"))
+        keys = keyed(mine, "first", "slug", "url").persist()  # one batch, read three times; a lost part is made again
         place = f"{folder}/found/batch={n}"
-        index.matches(keys).write.mode("overwrite").parquet(place)
-        index.append(keys, spark.read.schema("row_id bigint, root bigint").parquet(place))
+        index.matches(keys, str(n)).write.mode("overwrite").parquet(place)
+        index.append(keys, spark.read.schema(answer).parquet(place), str(n))
         keys.unpersist()
-    if not index.filled:
+    if not batches:
         return spark.createDataFrame([], "earlier_id bigint, row_id bigint")
-    return spark.read.schema("row_id bigint, root bigint").option("recursiveFileLookup", "true").parquet(folder + "/found").select(F.col("root").alias("earlier_id"), "row_id")
+    if index.folder.startswith(folder):
+        removed(spark, index.folder)
+    found = spark.read.schema(answer).option("recursiveFileLookup", "true").parquet(folder + "/found").select("row_id", "root")
+    answered = groups.join(found, F.col("first") == F.col("row_id")).select("batch", "slug", "url", "n", F.col("root").alias("earlier_id"))
+    return salted_join(rows, answered, ["batch", "slug", "url"], "n", spread=F.xxhash64("row_id")).select("earlier_id", "row_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

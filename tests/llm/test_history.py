@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from siftline.llm import history
 from siftline.llm.places import edits
 
@@ -58,14 +56,67 @@ def test_probes_find_every_name_within_reach():
                 assert stored & history.probes(b), (a, b)
 
 
-def test_index_reads_only_named_years(spark, tmp_path):
-    index = history.SegmentIndex(spark, str(tmp_path / "i"))
-    rows = spark.createDataFrame([(1, "alphaname-conf-2026", None), (2, "alphaname-conf-2027", None)], "id bigint, slug string, url string")
-    keys = history.keyed(rows, "id", "slug", "url")
-    index.append(keys, spark.createDataFrame([], "row_id bigint, root bigint"))
-    assert sorted(p.name for p in (tmp_path / "i").glob("year=*")) == ["year=2026", "year=2027"]
-    probe = history.keyed(rows.where("id = 2").withColumn("id", F.lit(9).cast("bigint")), "id", "slug", "url")
-    assert [tuple(r) for r in index.matches(probe).collect()] == [(9, 2)]
+def keys_of(spark, *rows):
+    return history.keyed(spark.createDataFrame(list(rows), "id bigint, slug string, url string"), "id", "slug", "url")
+
+
+def taken(index, keys, batch, place):
+    index.matches(keys, batch).write.mode("overwrite").parquet(place)
+    answers = index.spark.read.parquet(place)
+    index.append(keys, answers, batch)
+    return {r["row_id"]: r["root"] for r in answers.collect()}
+
+
+def test_a_new_object_finds_what_an_earlier_one_appended(spark, tmp_path):
+    folder, place = str(tmp_path / "i"), str(tmp_path / "found")
+    assert taken(history.SegmentIndex(spark, folder), keys_of(spark, (1, "alphaname-conf-2026", None), (2, "alphaname-conf-2027", None)), "0", place) == {}
+    assert taken(history.SegmentIndex(spark, folder), keys_of(spark, (9, "alphanme-conf-2027", None)), "1", place) == {9: 2}
+    assert taken(history.SegmentIndex(spark, folder), keys_of(spark, (12, "alphanmee-conf-2027", None)), "2", place) == {12: 2}
+
+
+def test_a_batch_taken_in_again_gets_the_same_answers(spark, tmp_path):
+    index, place = history.SegmentIndex(spark, str(tmp_path / "i")), str(tmp_path / "found")
+    for _ in range(2):
+        assert taken(index, keys_of(spark, (1, "alphaname-conf-2026", None)), "0", place) == {}
+        assert taken(index, keys_of(spark, (2, "alphaname-conf-2026", None)), "1", place) == {2: 1}
+
+
+def test_generations_merge_and_lose_nothing(spark, tmp_path):
+    index, place = history.SegmentIndex(spark, str(tmp_path / "i")), str(tmp_path / "found")
+    for n in range(history.FAN + 2):
+        taken(index, keys_of(spark, (n, f"{'abcdefghij'[n] * 9}name-conf-2026", None)), str(n), place)
+    levels = sorted(g[:2] for g in index._gens())
+    assert levels == ["00", "00", "01"]
+    got = taken(index, keys_of(spark, *[(100 + n, f"{'abcdefghij'[n] * 9}nme-conf-2026", None) for n in range(history.FAN + 2)]), "x", place)
+    assert got == {100 + n: n for n in range(history.FAN + 2)}
+
+
+def test_a_batch_reads_only_the_buckets_it_probes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "BUCKET_ROWS", 4)
+    index, place = history.SegmentIndex(spark, str(tmp_path / "i")), str(tmp_path / "found")
+    words = ["".join(random.Random(n).choice("abcdefghijklmnop") for _ in range(14)) for n in range(60)]
+    taken(index, keys_of(spark, *[(n, f"{w}-conf-{2026 + n % 2}", None) for n, w in enumerate(words)]), "0", place)
+    files = list((tmp_path / "i").rglob("*.parquet"))
+    assert len({f.parent for f in files}) > 20
+    for f in files:  # what a probe of one 2027 name can't touch may be broken
+        if "year=2026" in str(f):
+            f.write_bytes(b"broken")
+    assert taken(index, keys_of(spark, (99, f"{words[1]}-conf-2027", None)), "1", place) == {99: 1}
+
+
+def test_repeated_writings_are_kept_once(spark, tmp_path):
+    index, place = history.SegmentIndex(spark, str(tmp_path / "i")), str(tmp_path / "found")
+    taken(index, keys_of(spark, (1, "alphaname-conf-2026", None), (2, "alphaname-conf-2026", None)), "0", place)
+    assert index._rows().count() == history.TAU + 1
+    assert taken(index, keys_of(spark, *[(n, "alphaname-conf-2026", None) for n in range(3, 20)]), "1", place) == {n: 1 for n in range(3, 20)}
+    assert index._rows().count() == history.TAU + 1
+
+
+def test_history_of_an_earlier_call(spark, tmp_path):
+    folder = str(tmp_path / "i")
+    call = lambda rows: {r["row_id"]: r["earlier_id"] for r in history.deduplicated(spark.createDataFrame(rows, SCHEMA), "id", "batch", "slug", "url", history.SegmentIndex(spark, folder)).collect()}
+    assert call([(1, 0, "alphaname-conf-2026", None), (2, None, "alphaname-conf-2026", None)]) == {}
+    assert call([(3, 1, "alphaname-conf-2026", None), (4, 1, "alphaname-conf-2026", None), (5, 1, None, None)]) == {3: 1, 4: 1}
 
 
 def test_one_edit_agrees_with_distance():
