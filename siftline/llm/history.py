@@ -222,7 +222,7 @@ class SegmentIndex:
         gens = self._gens()
         if not gens:
             return self.spark.createDataFrame([], "row_id bigint, root bigint, known array<string>")
-        asked = keys.select("row_id", "year", F.col("name").alias("q"), F.col("place").alias("q_place"), _writing().alias("writing"), F.explode("asked").alias("segment"))
+        asked = keys.select("row_id", "year", F.col("name").alias("q"), F.col("place").alias("q_place"), F.explode("asked").alias("segment"))
         asked = asked.withColumn("bucket", _bucket(int(gens[0].split("-")[1])))
         probed: dict[str, list[str]] = {}
         for year, bucket in asked.select("year", "bucket").distinct().collect():  # at most (years, 50) x (buckets, 1,024)
@@ -235,7 +235,7 @@ class SegmentIndex:
         found = found.withColumns({"edits": edits, "place_edits": places}).where((F.col("edits") >= 0) & (F.col("place_edits") >= 0))
         # short names have less room for edits, and with a drifted place there is room for one only
         found = found.where((F.col("edits") <= F.length("name") / 4) & (F.col("place_edits").isin(0, TAU + 1) | (F.col("edits") <= 1)))
-        held = F.when((F.col("q") == F.col("name")) & (F.col("q_place") == F.col("place")), F.col("writing"))
+        held = F.when((F.col("q") == F.col("name")) & (F.col("q_place") == F.col("place")), _writing())
         best = found.groupBy("row_id", "root").agg(F.min(F.col("place_edits") + F.col("edits")).alias("cost"), F.collect_set(held).alias("known"))  # a row has a handful of writings
         ranked = best.groupBy("row_id").agg(
             F.min(F.struct("cost", "root", "known")).alias("m"),
@@ -247,8 +247,9 @@ class SegmentIndex:
     def append(self, keys: DataFrame, answers: DataFrame, batch: str) -> None:
         """Adds the segments of a batch's new writings, each under the first arrival of its edition; `answers` come from `matches`."""
         gens = self._gens()
-        new = keys.join(answers.select("row_id", "root", "known"), "row_id", "left").where(~F.coalesce(F.array_contains("known", _writing()), F.lit(False)))
-        new = new.select(F.explode("stored").alias("segment"), "name", "place", F.lit(batch).alias("batch"), F.coalesce("root", "row_id").alias("root"), "year")
+        new = keys.join(answers.select("row_id", "root", "known"), "row_id", "left")
+        new = new.select(F.explode("stored").alias("segment"), "name", "place", F.lit(batch).alias("batch"), F.coalesce("root", "row_id").alias("root"), "year", "known")
+        new = new.where(~F.coalesce(F.array_contains("known", _writing()), F.lit(False))).drop("known")
         buckets = int(gens[0].split("-")[1]) if gens else min(MOST_BUCKETS, max(1, new.count() // BUCKET_ROWS))
         # of equal writings in one batch the first arrival stands for all
         new = new.groupBy("year", "segment", "name", "place", "batch").agg(F.min("root").alias("root"))
@@ -270,7 +271,8 @@ class SegmentIndex:
 
 
 def _writing() -> Column:
-    return F.concat_ws("\u0001", "kind", "name", "place", "address")
+    """One text per kind, name and place, or address, of an exploded row."""
+    return F.when(F.col("segment").startswith("@"), F.col("segment")).otherwise(F.concat_ws("\u0001", F.substring_index("segment", "|", 1), "name", "place"))
 
 
 def _bucket(buckets: int) -> Column:
