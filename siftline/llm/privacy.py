@@ -1,27 +1,32 @@
 """Problem 9: personal information in free text, found and replaced by typed placeholders.
 
-Bootstrapped contextual extraction.  Emails, telephone numbers, identity numbers
-and addresses of strict form are entities by their form; persons named right
-before their own email address seed the names, identity numbers of strict form
-seed the codes.  The words around seeds are lexical patterns.  Spark scores the
-graph of patterns and instances in rounds: a pattern is as trustworthy as the
-share of known instances among all it surrounds, an instance as the patterns
-that surround it; trusted patterns bring in given names, family names and number
-formats that no seed showed.  A last pass finds every occurrence of what was
-learned, in any case and order.
+Bootstrapped contextual extraction.  Emails, telephone numbers and addresses of
+strict form are entities by their form; persons named right before their own
+email address seed the names, numbers after a word for an identity document seed
+the identity numbers, international telephone numbers seed the looser ones.  The
+words around seeds, and for numbers the order of their letters, digits and
+separators, are lexical patterns.  Spark scores the graph of patterns and
+instances in rounds: a pattern is as trustworthy as the share of known instances
+among all it surrounds, an instance as the patterns that surround it; trusted
+patterns bring in given names, family names and numbers that no seed showed.  A
+last pass finds every occurrence of what was learned, in any case and order.
 
 Defined results: null and empty texts have no span; offsets count code points of
-the stored text; overlapping finds keep the earlier kind of email, address,
-phone, identity number, name, and among equals the one that starts first; long
-texts are searched whole; repeated documents get equal spans each.
+the stored text; of overlapping finds the better one stays (a number right after
+the word for its document, then email, address, phone, other identity numbers,
+names) and among equals the one that starts first, and a find that lost to
+nothing that stays stays too; long texts are searched whole; repeated documents
+get equal spans each.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,11 +75,16 @@ ADDRESS = re.compile(rf"(?<![\w-])(?:{_EN}|{_DE}|{_FR}|{_ES})(?![\w])", re.I)
 ADDRESS_NUMBER_FIRST = re.compile(rf"(?<![\w-])(?:{_EN}|{_FR}|{_ES})(?![\w])", re.I)
 #: What every address of the form street, number, town holds; without it the text is not searched for that form.
 _NUMBER_THEN_TOWN = re.compile(rf"\d ?[a-f]?(?:,|{S}/){S}(?:[a-z]{{1,2}}-)?(?:\d{{4,6}}{S})?[^\W\d_]", re.I)
-#: Identity numbers whose form alone tells them: social-security, insurance, passport, card and tax numbers.
-ID_FORMS = re.compile(
-    r"(?<![\w-])(?:9\d{2}[- ]\d{2}[- ]\d{4}|[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d]|zz ?\d{7}|[clx]\d[a-z0-9]\d{6,7}|x\d{7}|x\d{3} \d{3} \d{2}|\d{2}\.?\d{3}\.?\d{3}[- ]?[a-hj-np-tv-z])(?![\w-])", re.I
+#: Words for identity documents in English, German, French and Spanish, as `key` writes them: they seed the identity numbers.
+DOCUMENTS = frozenset(
+    "passport ssn nino passeport pasaporte reisepass pass passnummer passnr ausweis ausweisnummer ausweisnr personalausweis personalausweisnummer dni nif nie nir steuernummer sozialversicherungsnummer".split()
+    + ["social security", "national insurance", "identity card", "id card", "tax id", "tax form", "steuer id", "numero fiscal", "numero fiscale", "securite sociale", "seguridad social", "carte identite", "piece identite", "documento identidad"]
 )
-CODE = re.compile(r"(?<![\w#/@.-])[A-Za-z]{0,3}[- ]?\d(?:[- .]?\d|[- ]?[A-Z](?![A-Za-z])){4,16}(?:-?[A-Za-z])?(?![\w@-])")
+#: Words and signs that may stand between such a word and its number.
+_LINKS = frozenset(": = # . no nr num number nummer numero n º is est es ist lautet card".split())
+#: Words before a number that are searched for the word of a document.
+REACH = 8
+CODE = re.compile(r"(?<![\w#/@.-])(?:[A-Za-z]{1,3}[- ]?)?\d(?:[- .]?\d|[- ]?[A-Z](?![A-Za-z])){4,16}(?:-?[A-Za-z])?(?![\w@-])")
 _LOWER = re.compile(r"(?<![\w@.+-])[^\W\d_]+(?![\w@.+-])")
 _TOKEN = re.compile(rf"{WORD}|\d+|[^\s\w]")
 
@@ -87,11 +97,54 @@ def key(text: str) -> str:
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
+def before(text: str, start: int, n: int) -> list[str]:
+    """The last `n` words or signs before a place, whole however long they are."""
+    reach = 16 * n
+    while True:
+        lo = max(0, start - reach)
+        found = [m[0] for m in _TOKEN.finditer(text, lo, start)]
+        if lo == 0 or len(found) > n:  # the first one may be cut by the window
+            return found[-n:]
+        reach *= 4
+
+
 def context(text: str, start: int, end: int) -> tuple[str, str]:
     """(left, right): the two words or signs before a span and the one after it, digits all alike."""
-    left = _TOKEN.findall(text[max(0, start - 40) : start])[-2:]
-    right = _TOKEN.findall(text[end : end + 24])[:1]
-    return " ".join(re.sub(r"\d+", "9", key(t)) for t in left), " ".join(re.sub(r"\d+", "9", key(t)) for t in right)
+    right = _TOKEN.search(text, end)
+    return " ".join(re.sub(r"\d+", "9", key(t)) for t in before(text, start, 2)), re.sub(r"\d+", "9", key(right[0])) if right else ""
+
+
+def after(text: str, end: int, n: int) -> list[str]:
+    """The next `n` words or signs after a place."""
+    return [m[0] for m in islice(_TOKEN.finditer(text, end), n)]
+
+
+def documented(text: str, start: int, end: int) -> int:
+    """2 when the word for an identity document stands right before a span, 1 when among the words around it, else 0."""
+
+    def parts(tokens: list[str]) -> list[str]:
+        return [w for t in tokens for w in key(t).split("-") if w and w not in ("’", "'", "d", "l", "de", "du", "la", "&", "nbsp", ";")]
+
+    def has(words: list[str]) -> bool:
+        return any(w in DOCUMENTS or " ".join(words[i : i + 2]) in DOCUMENTS for i, w in enumerate(words))
+
+    words = parts(before(text, start, REACH))
+    far = has(words) or has(parts(after(text, end, REACH)))
+    while words and words[-1] in _LINKS:
+        words.pop()
+    return 2 if has(words[-1:]) or has(words[-2:]) and " ".join(words[-2:]) in DOCUMENTS else int(far)
+
+
+def readings(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The spans that begin and end at a blank of a span and hold six digits: its first and last groups may belong to the words around it."""
+    blanks = [i for i in range(start, end) if text[i] == " "]
+    found = [(a, b) for a in (start, *[i + 1 for i in blanks]) for b in (*blanks, end) if b > a and sum(c.isdigit() for c in text[a:b]) >= 6]
+    return [(a, b) for a, b in found if not ((first := key(text[a:b].split(" ")[0])) in _LINKS or first in DOCUMENTS or first == "id")]
+
+
+def shape(code: str) -> str:
+    """The order of letters, digits and separators of a number."""
+    return re.sub(r"[^\W\d_]", "a", re.sub(r"\d", "9", code))
 
 
 def formed(text: str) -> list[tuple[str, int, int]]:
@@ -119,9 +172,6 @@ def formed(text: str) -> list[tuple[str, int, int]]:
         while text[b - 1] in ") ":
             b -= 1
         taken.append(("phone", a, b))
-    for m in ID_FORMS.finditer(text):
-        if free(*m.span()):
-            taken.append(("id_form", *m.span()))
     return taken
 
 
@@ -155,16 +205,18 @@ def scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     continue
                 forms = formed(t)
                 for kind, s, e in forms:
-                    left, right = context(t, s, e) if kind == "id_form" else (None, None)
-                    out.append((i, kind, s, e, None, None, left, right, kind == "id_form", None))
+                    left, right = context(t, s, e) if kind == "phone" else (None, None)
+                    out.append((i, kind, s, e, None, None, left, right, t[s] in "+(" or t.startswith("00", s), None))
                 for s, e, a, b, seed in persons(t):
                     left, right = context(t, s, e)
                     out.append((i, "pair", s, e, a, b, left, right, seed, None))
                 for m in CODE.finditer(t):
-                    s, e = m.span()
-                    if sum(c.isdigit() for c in m[0]) >= 6 and all(e <= x or s >= y for _, x, y in forms):
-                        left, right = context(t, s, e)
-                        out.append((i, "code", s, e, None, None, left, right, False, None))
+                    for s, e in readings(t, *m.span()):
+                        hits, near = [k for k, x, y in forms if s < y and x < e], documented(t, s, e)
+                        # a number that reads as a telephone number too is one unless its document stands right before it
+                        if not hits or (hits == ["phone"] and near == 2):
+                            left, right = context(t, s, e)
+                            out.append((i, "code", s, e, re.sub(r"[\W_]", "", t[s:e]).upper(), shape(t[s:e]), left, right, near > 0, near))
                 words.update(w for w in _LOWER.findall(t) if w.islower())
             out += [(None, "word", None, None, None, key(w), None, None, None, n) for w, n in words.items()]
             got = pd.DataFrame(out, columns=["doc_id", "kind", "s", "e", "a", "b", "left", "right", "seed", "n"])
@@ -175,27 +227,56 @@ def scanned(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("i"), F.col(f"`{text}`").alias("t")).mapInPandas(rows, _FOUND)
 
 
-def _sides() -> Column:
-    """The two patterns around an instance: the two words before it, and the one before with the one after."""
+def _sides(*more: tuple[str, str]) -> Column:
+    """The two patterns around an instance: the two words before it, and the one before with the one after; and `more` (side, column)."""
     around = F.concat_ws("\u0001", F.element_at(F.split("left", " "), -1), "right")
-    return F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("pattern")), F.struct(F.lit("r").alias("side"), around.alias("pattern"))))
+    return F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("left").alias("pattern")), F.struct(F.lit("r").alias("side"), around.alias("pattern")), *[F.struct(F.lit(s).alias("side"), F.col(c).alias("pattern")) for s, c in more]))
 
 
-def trusted_patterns(instances: DataFrame) -> DataFrame:
+def trusted_patterns(instances: DataFrame, *more: tuple[str, str]) -> DataFrame:
     """(side, pattern, trust) from (instance, left, right, known): the share of known ones among the instances a pattern surrounds."""
-    sides = instances.select("instance", "known", _sides().alias("x"))
+    sides = instances.select("instance", "known", _sides(*more).alias("x"))
     once = sides.select("instance", "known", "x.side", "x.pattern").where(~F.col("pattern").isin("", "\u0001")).distinct()
     scored = once.groupBy("side", "pattern").agg(F.count_if("known").alias("k"), F.count("*").alias("n"))
     return scored.where((F.col("k") >= LEAST_KNOWN) & (F.col("k") >= TRUST * F.col("n"))).select("side", "pattern", (F.col("k") / (F.col("n") + 1)).alias("trust"))
 
 
-def trusted_instances(instances: DataFrame, patterns: DataFrame) -> DataFrame:
+def trusted_instances(instances: DataFrame, patterns: DataFrame, *more: tuple[str, str]) -> DataFrame:
     """(instance, trust): 1 less the chance that all patterns around an instance err."""
-    sides = instances.select("instance", _sides().alias("x"))
+    sides = instances.select("instance", _sides(*more).alias("x"))
     once = sides.select("instance", "x.side", "x.pattern").distinct().join(patterns, ["side", "pattern"])
     return once.groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.col("trust") + 1e-6)))).alias("trust"))
 
 
+def learned_numbers(found: DataFrame) -> DataFrame:
+    """(doc_id, kind, s, e, rank): identity numbers, and telephone numbers of looser form, learned in rounds from the seeds.
+
+    Instances are the numbers themselves, so that one named as a passport once
+    is known wherever it stands; each occurrence is judged by its own patterns.
+    """
+    form = ("s", "b")
+    codes = found.where(F.col("kind") == "code").select("doc_id", "s", "e", F.col("a").alias("instance"), "b", "left", "right", "seed", F.col("n").alias("near"))
+    known = codes.where("seed").select("instance").distinct()
+    for _ in range(ROUNDS):
+        now = codes.join(known.withColumn("known", F.lit(True)), "instance", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        patterns = checkpointed(trusted_patterns(now, form))
+        known = checkpointed(known.union(trusted_instances(codes, patterns, form).where(F.col("trust") >= TRUST).select("instance")).distinct())
+    each = codes.withColumn("instance", F.concat_ws("\u0001", "doc_id", "s", "e"))
+    sure = trusted_instances(each, patterns, form).where(F.col("trust") >= TRUST).select("instance", F.lit(True).alias("sure"))
+    shapes = patterns.where(F.col("side") == "s").select(F.col("pattern").alias("b"), F.col("trust").alias("form_trust"))
+    judged = each.join(sure, "instance", "left").join(shapes, "b", "left")
+    judged = checkpointed(judged.select("doc_id", "s", "e", "instance", "b", "left", "right", "near", F.coalesce("form_trust", F.lit(0.0)).alias("form_trust"), (F.coalesce("sure", F.lit(False)) | (F.col("near") == 2)).alias("is_id")))
+    # of two readings of one number the one whose form is better known comes first
+    ids = judged.where("is_id").select("doc_id", F.lit("id_number").alias("kind"), "s", "e", (F.when(F.col("near") == 2, -1.0).otherwise(1.0) - F.col("form_trust") / 2).alias("rank"))
+    # telephone numbers in national writings: digits alone under the words that stand before international ones
+    phones = found.where(F.col("kind") == "phone").select(F.concat_ws("\u0001", "doc_id", "s", "e").alias("instance"), "left", "right", F.col("seed").alias("known"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"))
+    loose = judged.where(~F.col("is_id") & (F.col("near") == 0) & ~F.col("b").contains("a")).select("instance", "left", "right", F.lit(False).alias("known"), "doc_id", "s", "e")
+    numbers = phones.unionByName(loose)
+    said = trusted_patterns(numbers).where(F.col("side") == "l").select(F.col("pattern").alias("left"))
+    more = loose.join(said, "left", "left_semi").select("doc_id", F.lit("phone").alias("kind"), "s", "e", F.lit(1.0).alias("rank"))
+    return ids.unionByName(more)
+
+
 def learned_names(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(given, family): name words with what speaks for them, learned in rounds from the seeds."""
     pairs = found.where(F.col("kind") == "pair").select("a", "b", "left", "right", "seed")
@@ -282,17 +363,32 @@ def personal(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     found = checkpointed(scanned(docs, doc_id, text))
     given, family = learned_names(found)
     given, family = checkpointed(given), checkpointed(family)
-    names = named(docs, doc_id, text, given, family, found).select("doc_id", F.lit("name").alias("kind"), "s", "e", (F.col("weight") + 10).alias("rank"))
-    forms = found.where(F.col("kind").isin("email", "phone", "address")).select("doc_id", "kind", "s", "e", F.lit(0).alias("rank"))
-    # codes: the label before a number decides; labels are learned from numbers of strict form
-    codes = found.where(F.col("kind").isin("id_form", "code")).select("doc_id", "kind", "s", "e", F.concat_ws("\u0001", "doc_id", "s").alias("instance"), "left", F.lit("").alias("right"), (F.col("kind") == "id_form").alias("known"))
-    labels = trusted_patterns(codes).where((F.col("side") == "l")).select(F.col("pattern").alias("left"))
-    more = codes.where(F.col("kind") == "code").join(labels, "left", "left_semi")
-    ids = codes.where(F.col("kind") == "id_form").unionByName(more).select("doc_id", F.lit("id_number").alias("kind"), "s", "e", F.lit(1).alias("rank"))
-    spans = forms.unionByName(ids).unionByName(names).distinct()
-    # a span gives way to a better one that it touches; bounded work per document, whose spans are few
-    clash = spans.alias("x").join(spans.alias("y"), (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.s") < F.col("y.e")) & (F.col("y.s") < F.col("x.e")) & (F.struct("y.rank", "y.s", F.negative("y.e"), "y.kind") < F.struct("x.rank", "x.s", F.negative("x.e"), "x.kind")), "left_anti")
-    return clash.select("doc_id", F.col("kind").alias("pii_type"), F.col("s").alias("span_start"), F.col("e").alias("span_end"))
+    names = named(docs, doc_id, text, given, family, found).select("doc_id", F.lit("name").alias("kind"), "s", "e", (F.col("weight") + 10.0).alias("rank"))
+    forms = found.where(F.col("kind").isin("email", "phone", "address")).select("doc_id", "kind", "s", "e", F.lit(0.0).alias("rank"))
+    spans = forms.unionByName(learned_numbers(found)).unionByName(names)
+    return without_overlaps(spans)
+
+
+def without_overlaps(spans: DataFrame) -> DataFrame:
+    """(doc_id, pii_type, span_start, span_end) from (doc_id, kind, s, e, rank): the best span first, each that meets none taken before."""
+
+    @F.pandas_udf("array<struct<pii_type:string,span_start:int,span_end:int>>")
+    def taken(batch: pd.Series) -> pd.Series:
+        out = []
+        for marks in batch:
+            starts, ends, kept = [], [], []
+            for rank, s, minus_e, kind in sorted((m["rank"], m["s"], -m["e"], m["kind"]) for m in marks):
+                at = bisect.bisect_left(starts, -minus_e)  # spans taken are disjoint: only the last one before this end can meet it
+                if at == 0 or ends[at - 1] <= s:
+                    starts.insert(at, s)
+                    ends.insert(at, -minus_e)
+                    kept.append({"pii_type": kind, "span_start": s, "span_end": -minus_e})
+            out.append(kept)
+        return pd.Series(out)
+
+    # the spans of one document, bounded by its text
+    docs = spans.groupBy("doc_id").agg(F.collect_set(F.struct("rank", "s", "e", "kind")).alias("marks"))
+    return docs.select("doc_id", F.explode(taken("marks")).alias("x")).select("doc_id", "x.*")
 
 
 def redacted(docs: DataFrame, doc_id: str, text: str, spans: DataFrame) -> DataFrame:
