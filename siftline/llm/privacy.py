@@ -14,8 +14,8 @@ last pass finds every occurrence of what was learned, in any case and order.
 Defined results: null and empty texts have no span; offsets count code points of
 the stored text; of overlapping finds the better one stays (a number right after
 the word for its document, then email, address, phone, other identity numbers,
-names) and among equals the one that starts first, and a find that lost to
-nothing that stays stays too; long texts are searched whole; repeated documents
+names) and among equals the longer one, then the one that starts first, and a
+find that meets none of those that stay stays too; long texts are searched whole; repeated documents
 get equal spans each.
 """
 
@@ -139,6 +139,7 @@ def readings(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """The spans that begin and end at a blank of a span and hold six digits: its first and last groups may belong to the words around it."""
     blanks = [i for i in range(start, end) if text[i] == " "]
     found = [(a, b) for a in (start, *[i + 1 for i in blanks]) for b in (*blanks, end) if b > a and sum(c.isdigit() for c in text[a:b]) >= 6]
+    found = [(a, b) for a, b in found if not re.fullmatch(r"(?:[A-Za-z]{1,3} )?(?:19|20)\d\d-\d\d-\d\d", text[a:b])]  # dates
     return [(a, b) for a, b in found if not ((first := key(text[a:b].split(" ")[0])) in _LINKS or first in DOCUMENTS or first == "id")]
 
 
@@ -251,12 +252,14 @@ def trusted_instances(instances: DataFrame, patterns: DataFrame, *more: tuple[st
 def learned_numbers(found: DataFrame) -> DataFrame:
     """(doc_id, kind, s, e, rank): identity numbers, and telephone numbers of looser form, learned in rounds from the seeds.
 
-    Instances are the numbers themselves, so that one named as a passport once
-    is known wherever it stands; each occurrence is judged by its own patterns.
+    Instances are the numbers themselves, so that one which mostly stands near
+    the word for a document is known wherever it stands; each occurrence is
+    judged by its own patterns.
     """
     form = ("s", "b")
     codes = found.where(F.col("kind") == "code").select("doc_id", "s", "e", F.col("a").alias("instance"), "b", "left", "right", "seed", F.col("n").alias("near"))
-    known = codes.where("seed").select("instance").distinct()
+    # a number that stands everywhere also stands near the word for a document now and then
+    known = codes.groupBy("instance").agg(F.avg(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= 0.5).select("instance")
     for _ in range(ROUNDS):
         now = codes.join(known.withColumn("known", F.lit(True)), "instance", "left").withColumn("known", F.coalesce("known", F.lit(False)))
         patterns = checkpointed(trusted_patterns(now, form))
@@ -377,12 +380,12 @@ def without_overlaps(spans: DataFrame) -> DataFrame:
         out = []
         for marks in batch:
             starts, ends, kept = [], [], []
-            for rank, s, minus_e, kind in sorted((m["rank"], m["s"], -m["e"], m["kind"]) for m in marks):
-                at = bisect.bisect_left(starts, -minus_e)  # spans taken are disjoint: only the last one before this end can meet it
+            for _, _, s, e, kind in sorted((m["rank"], m["s"] - m["e"], m["s"], m["e"], m["kind"]) for m in marks):
+                at = bisect.bisect_left(starts, e)  # spans taken are disjoint: only the last one before this end can meet it
                 if at == 0 or ends[at - 1] <= s:
                     starts.insert(at, s)
-                    ends.insert(at, -minus_e)
-                    kept.append({"pii_type": kind, "span_start": s, "span_end": -minus_e})
+                    ends.insert(at, e)
+                    kept.append({"pii_type": kind, "span_start": s, "span_end": e})
             out.append(kept)
         return pd.Series(out)
 

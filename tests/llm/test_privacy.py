@@ -84,6 +84,11 @@ def test_forms_of_known_numbers_and_words_around_them_find_the_rest(spark):
     assert got[15 + 1] == [("id_number", "777-12-4444")] and got[17] == [] and got[18] == []
 
 
+def test_a_number_that_is_everywhere_is_no_seed_by_standing_near_a_document_once(spark):
+    texts = [f"build 4 broke on 10.0.{i}.12 again and again with the crew, number {j}" for i in range(8) for j in range(9)] + [f"my passport came late, then build 4 broke on 10.0.{i}.12 there" for i in range(8)]
+    assert [g for g in found(spark, texts) if g] == []
+
+
 def test_a_national_telephone_number_after_the_words_for_one(spark):
     texts = [f"Mobile: +44 7700 9000{i:02d} any time" for i in range(20, 32)] + ["Mobile: 5550123 any time", "seats: 5550123 any time"]
     got = found(spark, texts)
@@ -97,9 +102,9 @@ def test_words_of_a_context_are_whole(spark):
 
 
 def test_a_find_that_lost_to_a_loser_stays(spark):
-    rows = [(1, "name", 8, 12, 3.0), (1, "phone", 4, 9, 2.0), (1, "email", 0, 5, 1.0), (1, "name", 8, 12, 3.0), (2, "name", 0, 4, 5.0)]
+    rows = [(1, "name", 8, 12, 3.0), (1, "phone", 4, 9, 2.0), (1, "email", 0, 5, 1.0), (1, "name", 8, 12, 3.0), (2, "name", 0, 4, 5.0), (3, "name", 0, 10, 10.0), (3, "name", 6, 20, 10.0), (3, "name", 8, 14, 12.0)]
     got = V.without_overlaps(spark.createDataFrame(rows, "doc_id bigint, kind string, s int, e int, rank double"))
-    assert sorted(tuple(r) for r in got.collect()) == [(1, "email", 0, 5), (1, "name", 8, 12), (2, "name", 0, 4)]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "email", 0, 5), (1, "name", 8, 12), (2, "name", 0, 4), (3, "name", 6, 20)]
 
 
 def test_one_long_document_with_thousands_of_finds(spark):
