@@ -58,13 +58,14 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
 def salted_pairs(left: DataFrame, right: DataFrame, key: str, part: int = 2_000) -> DataFrame:
     """Joins two sides on `key`; the left rows of a key beyond `part` rows are split over several tasks, each with all right rows of it.
 
-    Only keys beyond `part` rows are broadcast: at most (left rows / part) of them.
+    The table of such keys has at most (left rows / part) rows; it is written
+    first, so that the planner broadcasts it only when its size allows.
     """
     hot = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > part).select(key, F.ceil(F.col("__n") / part).cast("int").alias("__parts"))
     hot = checkpointed(hot)
     salt = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col("__parts"))).cast("int")
-    left = left.join(F.broadcast(hot), key, "left").withColumn("__salt", salt).drop("__parts")
-    right = right.join(F.broadcast(hot), key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    left = left.join(hot, key, "left").withColumn("__salt", salt).drop("__parts")
+    right = right.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 
