@@ -4,8 +4,10 @@ A multi-pattern automaton over all names, aliases and countries of the list find
 every mention inside a value; the longest non-overlapping mentions win.  A
 country, its code or a region code beside a mention settles names that several
 entries share, and speaks against an entry of another country.  Values without
-a mention go to token-set similarity: their parts are compared with the names
-word by word, where a word may be a few edits off.
+a mention go to token-set similarity: their parts are compared with the names as
+a whole and word by word, in any order and among other words, where a word may be
+a few edits off.  Small words of names (port, new) may be written short; which
+words those are is taken from the list.
 
 The list travels to the executors whole: it is a reference list of a documented
 size, at most MAX_ENTRIES, and a longer one is refused rather than cut.
@@ -23,23 +25,20 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.sources.tables import read
 
-MAX_ENTRIES = 200_000
+#: Longest list; its near-writing tables then take at most a few hundred MB in a worker, as arrays of numbers.
+MAX_ENTRIES = 50_000
 _LETTERS = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ł": "l", "ð": "d", "þ": "th", "ı": "i"})
-#: Words of online options and of parts of towns and venues; never part of a name by themselves.
-NOISE = frozenset(
-    "online virtual remote hybrid event worldwide everywhere and or in at near greater metro area region city centre center downtown campus main old harbour harbor".split()
-    + "hall hotel park tech congress expo university grand mill convention conference stream streamed live utc gmt via zoom webinar onsite the".split()
-)
 #: Words of values that name no place.
 NOWHERE = frozenset("several cities ship various tba tbd tbc unknown announced none null".split())
-#: Short writings of the first words of names.
-SHORT = {"pt": "port", "st": "sankt", "skt": "sankt", "sankt": "sankt", "saint": "sankt", "n": "new", "nw": "new", "neo": "new", "prt": "port"}
+#: A word of this many letters beside a longer one (port, new, saint) may be written short.
+SMALL = range(3, 6)
 
 
 def folded(text: str) -> str:
@@ -89,8 +88,37 @@ def writings(name: str) -> list[str]:
     return out
 
 
+def shortened(word: str) -> set[str]:
+    """Short writings of a word: its first letter and at most two of the others in their order."""
+    rest = word[1:]
+    return {word[0]} | {word[0] + x for x in rest} | {word[0] + rest[i] + x for i in range(len(rest)) for x in rest[i + 1 :]}
+
+
+class _Near:
+    """Texts by what is left of them when letters go: arrays of hashes and of positions, no sets of strings."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.longest = max(map(len, texts), default=0)
+        pairs = [(hash(t), i) for i, text in enumerate(texts) for t in deletions(text, allowed(len(text)))]
+        keys = np.fromiter((k for k, _ in pairs), dtype=np.int64, count=len(pairs))
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], np.fromiter((i for _, i in pairs), dtype=np.int32, count=len(pairs))[order]
+
+    def find(self, text: str) -> list[tuple[int, str]]:
+        """(edits, text) of all texts within the edits that both lengths allow."""
+        most = allowed(len(text))
+        if len(text) > self.longest + most or not len(self.keys):  # too long for any
+            return []
+        probes = np.fromiter((hash(t) for t in deletions(text, most)), dtype=np.int64)
+        lo, hi = np.searchsorted(self.keys, probes, "left"), np.searchsorted(self.keys, probes, "right")
+        near = {self.texts[i] for a, b in zip(lo, hi, strict=True) if b > a for i in self.at[a:b]}
+        found = ((edits(text, n, min(most, allowed(len(n)))), n) for n in near)
+        return [(d, n) for d, n in found if d <= min(most, allowed(len(n)))]
+
+
 class Gazetteer:
-    """The list, its automaton and its near-writing table; `entries` are (id, name, alias or None, region or None, country, code)."""
+    """The list, its automaton and its near-writing tables; `entries` are (id, name, alias or None, region or None, country, code)."""
 
     def __init__(self, entries: list[tuple]):
         import ahocorasick
@@ -117,21 +145,18 @@ class Gazetteer:
             self.automaton.add_word(f" {n} ", n)
         if self.names or self.lands:
             self.automaton.make_automaton()
-        self.near: dict[str, set[str]] = {}
-        for n in self.names:
-            whole = n.replace(" ", "")
-            for t in deletions(whole, allowed(len(whole))):
-                self.near.setdefault(t, set()).add(n)
-
+        self.wholes: dict[str, set[str]] = {}
         self.holding: dict[str, set[str]] = {}
         for n in self.names:
+            self.wholes.setdefault(n.replace(" ", ""), set()).add(n)
             for w in n.split():
                 self.holding.setdefault(w, set()).add(n)
-        self.near_words: dict[str, set[str]] = {}
-        for w in self.holding:
-            for t in deletions(w, allowed(len(w))):
-                self.near_words.setdefault(t, set()).add(w)
-        self.longest = max(map(len, self.holding), default=0)
+        self.near_wholes, self.near_words = _Near(sorted(self.wholes)), _Near(sorted(self.holding))
+        small = {w for n in self.names for w in n.split() if len(w) in SMALL and max(map(len, n.split())) > len(w)}
+        self.short: dict[str, list[str]] = {}
+        for w in sorted(small):
+            for x in shortened(w) - {w}:
+                self.short.setdefault(x, []).append(w)
 
     def mentions(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, name) of the longest mentions that don't overlap, left to right among equals."""
@@ -150,31 +175,25 @@ class Gazetteer:
     def near_names(self, part: str) -> list[tuple[int, str]]:
         """(edits, name) of the names that a text may be a misspelling of, by token-set similarity."""
         words = part.split()
-        if words and words[0] in SHORT:
-            part = " ".join([SHORT[words[0]], *words[1:]])
-        whole = part.replace(" ", "")
-        most = allowed(len(whole))
-        found = set()
-        for t in deletions(whole, most) if len(whole) < 60 else ():
-            found |= self.near.get(t, set())
-        out = []
-        for n in found:
-            d = edits(whole, n.replace(" ", ""), min(most, allowed(len(n.replace(" ", "")))))
-            if d <= most and self._token_set(part.split(), n.split()):
-                out.append((d, n))
-        return sorted(out) or self._by_words(part.split())
+        out = {}
+        # as it stands, and with a short writing of a common word written out
+        for text in [words, *[[*words[:i], x, *words[i + 1 :]] for i, w in enumerate(words) for x in self.short.get(w, ())]]:
+            for d, whole in self.near_wholes.find("".join(text)):
+                for n in self.wholes[whole]:
+                    if self._token_set(text, n.split()):
+                        out[n] = min(d, out.get(n, d))
+        return sorted((d, n) for n, d in out.items()) or self._by_words(words)
 
     def _by_words(self, words: list[str]) -> list[tuple[int, str]]:
         """(edits, name) of the names all of whose words are among the words, in any order and with others between; those of most words only."""
         close: dict[str, list[tuple[int, str]]] = {}
         for w in dict.fromkeys(words):
-            most = allowed(len(w))
-            if w in NOWHERE or len(w) > self.longest + most:
+            if w in NOWHERE:
                 continue
-            for x in set().union(*(self.near_words.get(t, ()) for t in deletions(w, most))):
-                d = edits(w, x, min(most, allowed(len(x))))
-                if d <= min(most, allowed(len(x))):
-                    close.setdefault(x, []).append((d, w))
+            for d, x in self.near_words.find(w):
+                close.setdefault(x, []).append((d, w))
+            for x in self.short.get(w, ()):
+                close.setdefault(x, []).append((0, w))
         count, out = Counter(words), []
 
         def least(left: list[str]) -> int | None:
@@ -236,7 +255,7 @@ class Gazetteer:
             for p in loose:
                 if p is loose[-1] and len(loose) > len(parts) and named:
                     continue  # the whole value, where none of its parts is a name
-                core = [w for w in p if w not in NOISE and w not in self.codes and w.upper() not in {r.upper() for r in regions}]
+                core = [w for w in p if w not in self.codes and w.upper() not in {r.upper() for r in regions}]
                 for words in ([p, core] if core != p else [p]):
                     if not words:
                         continue

@@ -1,5 +1,7 @@
 """Problem 5: misspelt values whose words stand in another order, among others, or are many."""
 
+import random
+
 import pytest
 from test_places import CITIES
 
@@ -15,3 +17,20 @@ from siftline.llm import places
 )
 def test_words_in_any_order_and_among_others(value, expected):
     assert places.Gazetteer(CITIES).resolve(value)[0] == expected
+
+
+def test_reordered_names_without_a_misspelling_and_long_values():
+    gaz = places.Gazetteer([(1, "Port Anselm", None, None, "Alda", "AL"), (2, "Oakmere", "Great Oakmere upon the Long Winding River by the Old Northern Lighthouse", None, "Alda", "AL")])
+    assert gaz.resolve("Anselm Port")[0] == 1 and gaz.resolve("Anselm, Port")[0] == 1 and gaz.resolve("Prt Anselm")[0] == 1 and gaz.resolve("P. Anselm")[0] == 1
+    assert gaz.resolve("Great Oakmere upon the Long Windng River by the Old Northern Lighthuose")[0] == 2  # more than 60 letters, two of them wrong
+    assert gaz.resolve("several cities")[0] is None
+
+
+def test_near_writings_equal_brute_force():
+    rng = random.Random(4)
+    texts = sorted({"".join(rng.choice("abcd") for _ in range(rng.randint(3, 9))) for _ in range(200)})
+    near = places._Near(texts)
+    for _ in range(300):
+        x = "".join(rng.choice("abcd") for _ in range(rng.randint(2, 11)))
+        want = sorted((d, t) for t in texts if (d := places.edits(x, t, 3)) <= min(places.allowed(len(x)), places.allowed(len(t))))
+        assert sorted(near.find(x)) == want
