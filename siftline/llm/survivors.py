@@ -6,14 +6,16 @@ Two kinds of field:
   usable, else the first usable one in key order; protected survivors inherit
   nothing.  The survivor is the first row in the declared precedence.
 * *current* fields (status, source, ...): currency reasoning.  Timestamped rows
-  of all groups teach which value follows which; a value seen strictly before
-  another in clearly more groups than after it precedes it.  In each group
+  of all groups teach which value follows which; a value seen right before
+  another in clearly more groups than after it precedes it, and all that comes
+  after that one.  In each group
   timestamps order the timed rows and learned precedence relates the untimed
   ones to them; a value that some value of its group follows is out, and of the
   topologically latest ones the last timed one is taken, then the survivor's.
 
-Everything is an aggregate with map-side combination, so a group of any size,
-even a third of all rows, never meets in one task.
+Rows meet in aggregates with map-side combination only, so a group of any size,
+even a third of all rows, never meets in one task; what does meet, one row per
+distinct value of a group, is put in order for its lessons.
 
 Defined results: rows without a group key are in no group; a group of one row,
 and one with several protected rows, gives no record; null or blank values are
@@ -23,7 +25,7 @@ are no ISO dates count as missing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.columns import iso_date, source_matches, source_rank, url_identity, usable
@@ -37,24 +39,37 @@ MAX_SOURCES = 1_000
 
 
 def precedence(values: DataFrame) -> DataFrame:
-    """(field, earlier, later) learned from (g, field, value, first_at, last_at): which value follows which.
+    """(field, earlier, later) learned from (g, field, value, first_at, last_at): which value comes after which.
 
-    `values` has one row per group, field and value, so the pairs of a group are
-    as few as the values a field takes in it.
+    `values` has one row per group, field and value.  Each value teaches only
+    the next one in its group, so that the lessons are as many as the values,
+    not as their pairs; what follows from lesson to lesson is closed under
+    transitivity, so that a value two steps behind another is known to be
+    behind it where the one between is absent.
     """
     timed = values.where(F.col("first_at").isNotNull())
-    a, b = timed.alias("a"), timed.alias("b")
-    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.field") == F.col("b.field")) & (F.col("a.last_at") < F.col("b.first_at"))
-    seen = a.join(b, on).groupBy(F.col("a.field").alias("field"), F.col("a.value").alias("x"), F.col("b.value").alias("y")).agg(F.count("*").alias("n"))
+    after = lambda c: F.lead(c).over(Window.partitionBy("g", "field").orderBy("first_at", "last_at", "value"))
+    steps = timed.withColumns({"y": after("value"), "y_at": after("first_at")}).where(F.col("last_at") < F.col("y_at"))
+    seen = steps.groupBy("field", F.col("value").alias("x"), "y").agg(F.count("*").alias("n"))
     back = seen.select("field", F.col("x").alias("y"), F.col("y").alias("x"), F.col("n").alias("m"))
     both = seen.join(back, ["field", "x", "y"], "left").withColumn("m", F.coalesce("m", F.lit(0)))
-    return both.where((F.col("n") + F.col("m") >= LEAST_GROUPS) & (F.col("n") >= AGREEMENT * (F.col("n") + F.col("m")))).select("field", F.col("x").alias("earlier"), F.col("y").alias("later"))
+    learned = checkpointed(both.where((F.col("n") + F.col("m") >= LEAST_GROUPS) & (F.col("n") >= AGREEMENT * (F.col("n") + F.col("m")))).select("field", "x", "y"))
+    known = learned.count()
+    while True:  # each round doubles the steps between
+        longer = learned.join(learned.select("field", F.col("x").alias("y"), F.col("y").alias("z")), ["field", "y"]).where(F.col("x") != F.col("z")).select("field", "x", F.col("z").alias("y"))
+        learned = checkpointed(learned.union(longer).distinct())
+        if (now := learned.count()) == known:
+            return learned.select("field", F.col("x").alias("earlier"), F.col("y").alias("later"))
+        known = now
 
 
-def current_values(rows: DataFrame, fields: list[str]) -> DataFrame:
+def current_values(rows: DataFrame, fields: list[str], learned: list[str]) -> DataFrame:
     """(g, field_name, value, donor): the topologically latest value of each field in each group.
 
-    `rows` has (g, id, at, pick) and the fields; `pick` orders rows where nothing else does.
+    `rows` has (g, id, at, pick) and the fields; `pick` orders rows where
+    nothing else does.  The precedence of values is learned for the `learned`
+    fields: those of few values, such as states; of a field whose values never
+    come again, such as dates, there is nothing to learn.
     """
     long = rows.select("g", "id", "at", "pick", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x"))
     long = long.select("g", "id", "at", "pick", "x.*").where(usable(F.col("value")))
@@ -63,7 +78,7 @@ def current_values(rows: DataFrame, fields: list[str]) -> DataFrame:
         F.min(F.struct("pick", "id")).alias("best"), F.max_by("id", F.struct("at", F.negative("id"))).alias("latest"),
     )
     values = checkpointed(values)
-    order = precedence(values)
+    order = precedence(values.where(F.col("field").isin(learned)))
     top = values.groupBy("g", "field").agg(F.max("last_at").alias("top"))
     # still in the running: the value last timed, and every value of an untimed row
     live = values.join(top, ["g", "field"]).where((F.col("untimed") > 0) | F.col("last_at").eqNullSafe(F.col("top")))
@@ -79,11 +94,12 @@ def current_values(rows: DataFrame, fields: list[str]) -> DataFrame:
     return won.select("g", F.col("field").alias("field_name"), F.col("w.value").alias("value"), F.col("w.donor").alias("donor"))
 
 
-def survivors(df: DataFrame, group: Column, row_id: str, key: str, at: Column, protected: Column, order: list[Column], inherited: list[str], current: list[str]) -> DataFrame:
+def survivors(df: DataFrame, group: Column, row_id: str, key: str, at: Column, protected: Column, order: list[Column], inherited: list[str], current: list[str], learned: list[str] | None = None) -> DataFrame:
     """(g, survivor, field_name, value, donor, origin): the surviving record of each group, one row per field it has.
 
     `protected` rows come before the `order` and inherit nothing.  `origin` is
-    ``own``, ``inherited`` or ``current``.
+    ``own``, ``inherited`` or ``current``.  Of the `current` fields those in
+    `learned`, by default all, teach which of their values follows which.
     """
     protected = F.coalesce(protected, F.lit(False))
     id_, text = F.col(f"`{row_id}`"), F.coalesce(F.col(f"`{key}`"), F.lit(""))
@@ -102,11 +118,11 @@ def survivors(df: DataFrame, group: Column, row_id: str, key: str, at: Column, p
     if not current:
         return kept
     inside = rows.join(groups.select("g"), "g", "left_semi").select("g", "id", "at", "pick", *[F.col(f"f_{f}").alias(f) for f in current])
-    latest = current_values(inside, current).join(groups.select("g", F.col("w.id").alias("survivor")), "g")
+    latest = current_values(inside, current, current if learned is None else learned).join(groups.select("g", F.col("w.id").alias("survivor")), "g")
     return kept.unionByName(latest.select("g", "survivor", "field_name", "value", "donor", F.when(F.col("donor") == F.col("survivor"), "own").otherwise("current").alias("origin")))
 
 
-def _state_survivors(spark: SparkSession, d: str, current: list[str]) -> DataFrame:
+def _state_survivors(spark: SparkSession, d: str, current: list[str], learned: list[str] | None = None) -> DataFrame:
     config = read(spark, d, "feed_sources").orderBy("prio").limit(MAX_SOURCES + 1).collect()  # a config table
     if len(config) > MAX_SOURCES:
         raise ValueError("feed_sources is larger than a config table may be")
@@ -114,7 +130,7 @@ def _state_survivors(spark: SparkSession, d: str, current: list[str]) -> DataFra
     state = read(spark, d, "cfp_state")
     true = lambda n: F.coalesce(F.col(n), F.lit(False))
     order = [~true("shown_in_brief"), ~source_matches(F.col("source"), F.col("cfp_url"), table), source_rank(F.col("source"), [t for _, t in table])]
-    return survivors(state, url_identity(F.col("cfp_url")), "ord", "slug", iso_date(F.col("updated")), true("user_actioned"), order, ["name", "city", "conf_date"], current)
+    return survivors(state, url_identity(F.col("cfp_url")), "ord", "slug", iso_date(F.col("updated")), true("user_actioned"), order, ["name", "city", "conf_date"], current, learned)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +141,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_records(spark: SparkSession, d: str) -> DataFrame:
     """The surviving records in full: inherited fields and those chosen by currency."""
-    found = _state_survivors(spark, d, ["status", "source", "deadline", "user_actioned", "shown_in_brief"])
+    found = _state_survivors(spark, d, ["status", "source", "deadline", "user_actioned", "shown_in_brief"], ["status", "source", "user_actioned", "shown_in_brief"])
     return found.select(F.col("g").alias("identity"), F.col("survivor").alias("survivor_ord"), "field_name", "value", F.col("donor").alias("donor_ord"), "origin")
 
 

@@ -47,6 +47,32 @@ def test_learned_precedence_settles_missing_timestamps(spark):
     assert status_of(spark, rows, "x") == [("expired", 2)]
 
 
+def test_what_was_learned_is_closed(spark):
+    # open -> sent and sent -> expired are each seen, open before expired never; sent is absent
+    pairs = [(f"l{i}{k}", 1000 + 100 * i + 10 * k + j, f"l{i}{k}{j}", f"2026-0{j + 1}-01", None, 0, "n", "c", s) for i in range(8) for k, p in enumerate((("open", "sent"), ("sent", "expired"))) for j, s in enumerate(p)]
+    assert status_of(spark, [*pairs, ("x", 1, "a", None, None, 0, "n", "c", "open"), ("x", 2, "b", None, None, 0, "n", "c", "expired")], "x") == [("expired", 2)]
+
+
+def test_hidden_timestamps_are_told_by_what_other_groups_teach(spark):
+    rng, states = random.Random(5), ["new", "open", "sent", "done"]
+    rows, truth = [], {}
+    for g in range(200):
+        chain = sorted(rng.sample(range(4), 3))
+        if rng.random() < 0.1:  # a tenth of the groups goes another way
+            rng.shuffle(chain)
+        hide = g % 2
+        truth[f"g{g}"] = states[chain[-1]]
+        rows += [(f"g{g}", 10 * g + k, f"s{rng.random()}", None if hide else f"2026-0{k + 1}-01", None, 0, "n", "c", states[x]) for k, x in enumerate(chain)]
+    got = {r["g"]: r["value"] for r in run(spark, rows, ["name"], ["status"]).where("field_name = 'status'").collect()}
+    assert all(got[g] == v for g, v in truth.items() if int(g[1:]) % 2 == 0)
+    assert sum(got[g] == v for g, v in truth.items() if int(g[1:]) % 2) >= 85
+
+
+def test_a_group_of_very_many_values_teaches_in_one_pass(spark):
+    rows = [("big", i, f"s{i}", f"20{i % 50 + 10}-0{i % 9 + 1}-0{i % 8 + 1}", None, 0, "n", "c", f"v{i}") for i in range(20_000)]
+    assert len(status_of(spark, rows, "big")) == 1
+
+
 def test_timestamps_come_first(spark):
     rows = [*lessons(), ("x", 1, "a", "2026-05-01", None, 0, "n", "c", "open"), ("x", 2, "b", "2026-04-01", None, 0, "n", "c", "expired")]
     assert status_of(spark, rows, "x") == [("open", 1)]
