@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"(?U)^\s+|\s+$"
-ADDRESS = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)"
+ADDRESS = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)"
 
 
@@ -32,8 +32,8 @@ def _address(c: Column) -> Column:
 
 
 def url_host(c: Column) -> Column:
-    """Lower-case host without port and user, NULL where the text has none."""
-    return F.nullif(F.lower(F.regexp_extract(_address(c), ADDRESS, 1)), F.lit(""))
+    """Lower-case host without port, user and the brackets of a numeric one, NULL where the text has none."""
+    return F.nullif(F.lower(F.translate(F.regexp_extract(_address(c), ADDRESS, 1), "[]", "")), F.lit(""))
 
 
 def url_path(c: Column) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.columns import days_left, iso_date, usable
+from siftline.operators.skew import PART_ROWS, known_key
 
 #: Words that make a place or a name virtual, and days a conference is taken to last: fixed values.
 VIRTUAL = ["online", "virtual", "remote", "hybrid"]
@@ -44,7 +45,7 @@ def state_gate(candidates: DataFrame, state: DataFrame, key: str, as_of: Column,
     `candidates` has `key` and `deadline`; `state` has `key`, `status` and `remind_before_days`.
     """
     known = state.select(F.col(key).alias("__k"), F.col("status").alias("__s"), F.col("remind_before_days").alias("__r"))
-    joined = candidates.join(known, F.col(key) == F.col("__k"), "left")
+    joined = candidates.join(known, known_key(F.col(key), *candidates.columns) == F.concat(F.lit("="), F.col("__k")), "left")
     due = days_left(F.col("deadline"), as_of) <= F.coalesce("__r", F.lit(remind_default))
     keep = F.when(F.col("__s").isin(hidden), False).when(F.col("__s") == remind, due).otherwise(True)
     return joined.where(keep).drop("__k", "__s", "__r")
@@ -59,22 +60,20 @@ def _months(start: Column, end: Column) -> Column:
 def overlapping(df: DataFrame, start: Column, days: int, intervals: DataFrame, on: list[str] = (), how: str = "left_anti") -> DataFrame:
     """Rows whose [start, start + days] meets (left_semi) or doesn't meet (left_anti) an interval of the other table.
 
-    `intervals` has `start` and `end`, both inclusive.  The months that both
-    touch are an equality key, so that the join is no nested loop.  Rows
-    without a start meet nothing.
+    `intervals` has `start` and `end`, both inclusive.  Whether a row meets one
+    depends on its day and its `on` columns only, so each of those is asked
+    once.  The months that both touch are an equality key, so that the join is
+    no nested loop.  Rows without a start, or with a NULL in `on`, meet nothing.
     """
-    end = F.date_add(start, days)
-    rows = df.withColumn("__id", F.monotonically_increasing_id()) if how == "left_outer" else df
-    left = rows.withColumns({"__a": start, "__b": end})
-    key = F.xxhash64(*left.columns)
-    left = left.withColumn("__key", key)
-    probe = left.where(F.col("__a").isNotNull()).select("__key", *[F.col(c).alias("__on_" + c) for c in on], "__a", "__b", F.explode(_months(F.col("__a"), F.col("__b"))).alias("__m"))
+    left = df.withColumn("__a", start)
+    asked = left.where(F.col("__a").isNotNull()).select("__a", *on).distinct()
+    probe = asked.select("__a", *[F.col(c).alias("__on_" + c) for c in on], F.explode(_months(F.col("__a"), F.date_add("__a", days))).alias("__m"))
     other = intervals.select(*[F.col(c).alias("__i_" + c) for c in on], F.col("start").alias("__s"), F.col("end").alias("__e"), F.explode(_months(F.col("start"), F.col("end"))).alias("__n"))
-    cond = (F.col("__m") == F.col("__n")) & (F.col("__a") <= F.col("__e")) & (F.col("__b") >= F.col("__s"))
+    cond = (F.col("__m") == F.col("__n")) & (F.col("__a") <= F.col("__e")) & (F.date_add("__a", days) >= F.col("__s"))
     for c in on:
         cond &= F.col("__on_" + c) == F.col("__i_" + c)
-    met = probe.join(other, cond, "left_semi").select("__key").distinct()
-    return left.join(met, "__key", how).drop("__key", "__a", "__b")
+    met = probe.join(other, cond, "left_semi").select("__a", *[F.col("__on_" + c).alias(c) for c in on]).distinct()
+    return left.join(met, ["__a", *on], how).select(*df.columns)
 
 
 def first_overlap(df: DataFrame, row_id: str, start: Column, days: int, intervals: DataFrame, label: str) -> DataFrame:
@@ -87,24 +86,29 @@ def first_overlap(df: DataFrame, row_id: str, start: Column, days: int, interval
 
 
 def evidence_state(row: DataFrame, today: Column) -> DataFrame:
-    """Adds `advance` and `reason` to evidence rows: whether a run shows that it did its work."""
+    """Adds `advance` and `reason` to evidence rows: whether a run shows that it did its work; a row without a total shows nothing."""
     total = F.coalesce("cohort_size", "slugs_expected")
     done = F.coalesce("verified", F.lit(0)) + F.coalesce("dismissed", F.lit(0)) + F.coalesce("dropped", F.lit(0))
-    reason = F.when(~F.col("run_date").eqNullSafe(today.cast("string")), "other-date").when(F.coalesce(total, F.lit(0)) == 0, "none-required").when(done >= 1, "live").otherwise("no-evidence")
+    reason = F.when(~F.col("run_date").eqNullSafe(today.cast("string")), "other-date").when(total == 0, "none-required").when(done >= 1, "live").otherwise("no-evidence")
     return row.withColumns({"reason": reason, "advance": reason.isin("none-required", "live")})
 
 
-def cadence(now: Column, last_run: Column, hours: int = 60) -> Column:
-    """Why a run should start: no_cursor, cursor_unparseable, cursor_naive, cursor_future, cadence_elapsed; or within_cadence."""
+def cadence(now: Column, last_run: Column, hours: int = 60, error: Column | None = None) -> Column:
+    """Why a run should start: cursor_error, no_cursor, cursor_unparseable, cursor_naive_datetime, cursor_future, cadence_elapsed; or within_cadence."""
     zoned = last_run.rlike(r"(?:[zZ]|[+-]\d{2}:?\d{2})$")
     t = F.unix_timestamp(F.try_to_timestamp(last_run))
     n = F.unix_timestamp(now)
     return (
-        F.when(last_run.isNull() | (last_run == ""), "no_cursor").when(t.isNull(), "cursor_unparseable").when(~zoned, "cursor_naive")
+        F.when(F.lit(False) if error is None else error.isNotNull(), "cursor_error").when(last_run.isNull() | (last_run == ""), "no_cursor").when(t.isNull(), "cursor_unparseable").when(~zoned, "cursor_naive_datetime")
         .when(t > n, "cursor_future").when(n - t >= hours * 3600, "cadence_elapsed").otherwise("within_cadence")
     )
 
 
+def wake(reason: Column) -> Column:
+    """Whether a run starts: for every reason but a run within its cadence, unknown ones included."""
+    return F.coalesce(reason != "within_cadence", F.lit(True))
+
+
 def is_stale(last_verified: Column, failed: Column, as_of: Column, days: int = 7) -> Column:
     """Whether a row may not be shown: its check failed, or the last one is missing or too old."""
     seen = iso_date(last_verified)
@@ -112,9 +116,24 @@ def is_stale(last_verified: Column, failed: Column, as_of: Column, days: int = 7
 
 
 def urgency(days: Column) -> Column:
+    """now, week, month or later, by the days left."""
     return F.when(days <= 3, "now").when(days <= 7, "week").when(days <= 31, "month").otherwise("later")
 
 
+def by_urgency(df: DataFrame, days: Column, as_of: Column, statuses: list[str]) -> DataFrame:
+    """Live rows with `urgency` and `place`, their rank within it by days left and `ord`; what has passed is left out.
+
+    Ranks are counted in ranges of `ord` of a day, whose totals are few and shift the
+    numbers that each part gives its own rows; so rows of one day, or without
+    any, are ranked by many tasks.
+    """
+    rows = df.where(F.coalesce(F.col("status").isin(statuses), F.lit(False)) & (days >= 0)).withColumns({"__d": days, "__p": F.floor(F.col("ord") / PART_ROWS), "urgency": urgency(days)})
+    totals = rows.groupBy("urgency", "__d", "__p").agg(F.count("*").alias("__n"))
+    before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("urgency").orderBy("__d", "__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__d", "__p", "__before")
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("__d", "__p").orderBy("ord")))
+    return ranked.join(before, ["__d", "__p"]).withColumn("place", F.col("__r") + F.col("__before")).drop("__d", "__p", "__r", "__before")
+
+
 def suppressed(df: DataFrame, last_verified: str, failed: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(shown, held back): rows that may be shown, and those for the suppression log."""
     stale = is_stale(F.col(last_verified), F.col(failed), as_of)

@@ -38,6 +38,18 @@ def backfilled_source(state: DataFrame, table: list[tuple[str, str]]) -> tuple[D
     return new, report
 
 
+def source_totals(state: DataFrame, table: list[tuple[str, str]]) -> DataFrame:
+    """One row: sources told by the address, stated before, and still missing."""
+    had, told = F.coalesce(F.col("source") != "", F.lit(False)), infer_source(F.col("cfp_url"), table)
+    return state.agg(F.count_if(~had & told.isNotNull()).alias("n_backfilled"), F.count_if(had).alias("n_skipped_existing"), F.count_if(~had & told.isNull()).alias("n_unsourced"))
+
+
+def names_made(state: DataFrame) -> DataFrame:
+    """(slug, name): the names that `backfilled_name` makes."""
+    made = name_of(F.col("slug"), F.col("cfp_url"))
+    return state.where(~usable(F.col("name")) & ~F.coalesce("user_actioned", F.lit(False)) & made.isNotNull()).select("slug", made.alias("name"))
+
+
 def backfilled_name(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(state, report): missing names made from the key, else the address; protected rows stay as they are."""
     had, safe = usable(F.col("name")), F.coalesce("user_actioned", F.lit(False))

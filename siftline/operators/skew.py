@@ -55,6 +55,11 @@ def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], count: str,
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def known_key(key: Column, *spread: str) -> Column:
+    """A text key for the left side of a left join: rows without one, which match nothing, get made-up keys instead of all meeting in one task."""
+    return F.coalesce(F.concat(F.lit("="), key), F.concat(F.lit("?"), F.pmod(F.xxhash64(*spread), F.lit(1 << 20)).cast("string")))
+
+
 def salted_pairs(left: DataFrame, right: DataFrame, key: str, part: int = 2_000) -> DataFrame:
     """Joins two sides on `key`; the left rows of a key beyond `part` rows are split over several tasks, each with all right rows of it.
 

@@ -9,14 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.columns import cohort_slug, effective_source, open_until
+from siftline.functions.columns import cohort_slug, open_until, source_of_host, url_host
+from siftline.operators.skew import known_key
 
 
 def routed(cohort: DataFrame, authority: str, table: list[tuple[str, str]]) -> DataFrame:
     """Adds `fetch_slug` and `route`: authority rows with a key, without one, and all others."""
     slug = cohort_slug(F.col("cohort"), F.col("slug"), F.col("cfp_url"))
-    ours = F.coalesce(effective_source(F.col("source"), F.col("cfp_url"), table) == authority, F.lit(False))
-    return cohort.withColumn("fetch_slug", F.when(ours, slug)).withColumn("route", F.when(~ours, "other").when(F.col("fetch_slug").isNull(), "unverifiable").otherwise("fetch"))
+    # step by step: the planner computes what is used more than once only once when it is a column
+    rows = cohort.withColumn("__host", url_host(F.col("cfp_url")))
+    rows = rows.withColumn("__ours", F.coalesce(F.coalesce(F.nullif("source", F.lit("")), source_of_host(F.col("__host"), table)) == authority, F.lit(False)))
+    rows = rows.withColumn("fetch_slug", F.when(F.col("__ours"), slug))
+    return rows.withColumn("route", F.when(~F.col("__ours"), "other").when(F.col("fetch_slug").isNull(), "unverifiable").otherwise("fetch")).drop("__host", "__ours")
 
 
 def distinct_slugs(plan: DataFrame, order: str) -> DataFrame:
@@ -65,14 +69,21 @@ def last_results(results: DataFrame, slug: str, order: str) -> DataFrame:
     return results.where(F.col(slug).isNotNull()).groupBy(slug).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(slug, *[F.col(f"__r.`{c}`").alias(c) for c in rest])
 
 
+#: Notes of dismissed rows; all begin with DISMISSED, which note_violations asks for.
+DISMISSED = "Dismissed: "
+REMOVED = DISMISSED + "REMOVED — the authority no longer has the event."
+CLOSED = DISMISSED + "MISSED — the call closed on %s."
+ONLINE = DISMISSED + "ONLINE — the event is held online only."
+
+
 def decided(plan: DataFrame, results: DataFrame) -> DataFrame:
-    """Adds `action`, `reason` and `new_deadline` to the routed rows, by their key's result.
+    """Adds `action`, `reason`, `new_deadline`, `note` (why a row is dismissed) and `end_local` (of a verified one) to the routed rows, by their key's result.
 
     The order of the rules decides: no result or an error, removed, closed,
     online, no end date, verified.  Unknown flags are neither true nor false.
     """
-    r = results.select(F.col("slug").alias("__slug"), F.lit(True).alias("__hit"), F.col("has_error").alias("__err"), F.col("removed").alias("__removed"), F.col("cfp_open").alias("__open"), F.col("is_online").alias("__online"), F.left(F.nullif("cfp_end_local", F.lit("")), F.lit(10)).alias("__end"))
-    rows = plan.join(r, F.col("fetch_slug") == F.col("__slug"), "left")
+    r = results.select(F.col("slug").alias("__slug"), F.lit(True).alias("__hit"), F.col("has_error").alias("__err"), F.col("removed").alias("__removed"), F.col("cfp_open").alias("__open"), F.col("is_online").alias("__online"), F.nullif("cfp_end_local", F.lit("")).alias("__full"), F.left(F.nullif("cfp_end_local", F.lit("")), F.lit(10)).alias("__end"))
+    rows = plan.join(r, known_key(F.col("fetch_slug"), *[c for c in plan.columns if c not in ("fetch_slug", "route")]) == F.concat(F.lit("="), F.col("__slug")), "left")
     new = F.col("cohort") == "new"
     gone, shut, online = F.col("__removed").eqNullSafe(True), F.col("__open").eqNullSafe(False), F.col("__online").eqNullSafe(True)
     failed = F.col("__hit").isNull() | F.coalesce("__err", F.lit(False))
@@ -82,7 +93,11 @@ def decided(plan: DataFrame, results: DataFrame) -> DataFrame:
         .when(online, F.when(new, "drop").otherwise("dismiss")).when(F.col("__end").isNull(), "verify_failed").otherwise("verified")
     )
     reason = F.when(failed, None).when(gone, "removed").when(shut, "closed").when(online, "online")
-    return rows.withColumns({"action": action, "reason": F.when(action.isin("drop", "dismiss"), reason), "new_deadline": F.when(action == "verified", F.col("__end"))}).drop("__slug", "__hit", "__err", "__removed", "__open", "__online", "__end")
+    note = F.when(reason == "removed", REMOVED).when(reason == "closed", F.format_string(CLOSED, F.col("__end"))).when(reason == "online", ONLINE)
+    return rows.withColumns({
+        "action": action, "reason": F.when(action.isin("drop", "dismiss"), reason), "new_deadline": F.when(action == "verified", F.col("__end")),
+        "note": F.when(action == "dismiss", note), "end_local": F.when(action == "verified", F.col("__full")),
+    }).drop("__slug", "__hit", "__err", "__removed", "__open", "__online", "__end", "__full")
 
 
 ACTIONS = ["verified", "dismiss", "drop", "verify_failed"]
@@ -95,8 +110,9 @@ def summary(decisions: DataFrame) -> DataFrame:
 
 def evidence(decisions: DataFrame, run_date: str) -> DataFrame:
     """One row on what a run did: cohort and distinct keys, whether anything was fetched, counts of actions."""
-    ours = decisions.where(F.col("route") != "other")
+    ours = decisions.where(F.col("route") != "other").groupBy("route", "fetch_slug", "action").agg(F.count("*").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     return ours.agg(
-        F.lit(run_date).alias("run_date"), F.count("*").alias("cohort_size"), F.count_distinct(F.when(F.col("route") == "fetch", F.col("fetch_slug"))).alias("slugs_expected"),
-        *[F.count_if(F.col("action") == a).alias({"dismiss": "dismissed", "drop": "dropped"}.get(a, a)) for a in ACTIONS],
+        F.lit(run_date).alias("run_date"), total("n").alias("cohort_size"), F.count_distinct(F.when(F.col("route") == "fetch", F.col("fetch_slug"))).alias("slugs_expected"),
+        *[total(F.when(F.col("action") == a, F.col("n"))).alias({"dismiss": "dismissed", "drop": "dropped"}.get(a, a)) for a in ACTIONS],
     ).withColumn("live_call", F.col("slugs_expected") > 0)

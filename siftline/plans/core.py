@@ -50,12 +50,12 @@ def as_of():
 
 # --- SQL building blocks ---------------------------------------------------------------
 _U = "regexp_replace(regexp_replace({u}, '[\\t\\r\\n]', '', 'g'), '^[\\x00-\\x20]+', '')"
-_A = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)"
+_A = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]*)"
 _P = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)"
 
 
 def s_host(u: str) -> str:
-    return f"nullif(lower(regexp_extract({_U.format(u=u)}, '{_A}', 1)), '')"
+    return f"nullif(lower(replace(replace(regexp_extract({_U.format(u=u)}, '{_A}', 1), '[', ''), ']', '')), '')"
 
 
 def s_path(u: str) -> str:
@@ -124,10 +124,20 @@ def _state(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "cfp_state")
 
 
-def _groups(spark: SparkSession, d: str) -> DataFrame:
-    state = _state(spark, d).withColumn("norm", C.url_identity(F.col("cfp_url")))
-    order = resolve.winner_order(F.col("user_actioned"), F.col("shown_in_brief"), C.source_matches(F.col("source"), F.col("cfp_url"), HOSTS), C.source_rank(F.col("source"), PRIORITY), F.col("slug"))
-    return resolve.ranked(state, "norm", order, F.col("user_actioned"), "ord")
+FILLS = ["name", "city", "conf_date"]
+
+
+def _order() -> list:
+    return resolve.winner_order(F.col("user_actioned"), F.col("shown_in_brief"), C.source_matches(F.col("source"), F.col("cfp_url"), HOSTS), C.source_rank(F.col("source"), PRIORITY), F.col("slug"))
+
+
+def _identified(spark: SparkSession, d: str) -> DataFrame:
+    return _state(spark, d).withColumn("norm", C.url_identity(F.col("cfp_url")))
+
+
+def _noted(spark: SparkSession, d: str) -> DataFrame:
+    frozen = F.coalesce("user_actioned", F.lit(False)) | F.coalesce("shown_in_brief", F.lit(False))
+    return resolve.grouped(_identified(spark, d), "norm", _order(), "user_actioned", "ord", "slug", FILLS, "bot_notes", frozen)
 
 
 # --- scalar functions -------------------------------------------------------------------
@@ -195,15 +205,27 @@ def json_props(spark, d):
     return read(spark, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"), F.coalesce(F.try_variant_get(v, "$.missing", "bigint"), F.lit(0)).cast("bigint").alias("missing"))
 
 
-@query(rf"""SELECT check_id, coalesce(CASE WHEN regexp_matches(cfp_end_local, '^\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}$') THEN try_cast(cfp_end_local AS TIMESTAMP) END > TIMESTAMP '{AS_OF} 00:00:00', false) AS is_open FROM event_results""")
-def open_until(spark, d):
-    t = F.when(F.col("cfp_end_local").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$"), F.col("cfp_end_local"))
-    return read(spark, d, "event_results").select("check_id", C.open_until(t, F.lit(AS_OF + " 00:00:00").cast("timestamp_ntz")).alias("is_open"))
+_DAY = r"(\d{4}-\d{2}-\d{2}|\d{8})"
+_HMS = r"(?:[Tt ](\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?)?"
+_ISO = "^" + _DAY + _HMS + r"(?:(?:[zZ])|([+-])(\d{2}):?(\d{2})?)?$"
+
+
+def _p(i: int) -> str:
+    return f"regexp_extract(cfp_end_local, '{_ISO}', {i})"
+
+
+def _n(i: int) -> str:
+    return f"coalesce(try_cast(nullif({_p(i)}, '') AS INT), 0)"
+
+
+#: Naive UTC instant of any ISO date or instant; a zone needs a time before it.
+_UTC = f"""CASE WHEN regexp_matches(cfp_end_local, '{_ISO}') AND NOT ({_p(2)} = '' AND regexp_matches(cfp_end_local, '[zZ]$|[+-]\\d{{2}}:\\d{{2}}$')) AND {_n(7)} < 24 AND {_n(8)} < 60
+  THEN try_cast(left(replace({_p(1)}, '-', ''), 4) || '-' || substr(replace({_p(1)}, '-', ''), 5, 2) || '-' || substr(replace({_p(1)}, '-', ''), 7, 2) || ' ' || lpad({_p(2)}, 2, '0') || ':' || lpad({_p(3)}, 2, '0') || ':' || lpad({_p(4)}, 2, '0') || '.' || rpad({_p(5)}, 6, '0') AS TIMESTAMP)
+  - to_minutes((CASE WHEN {_p(6)} = '-' THEN -1 ELSE 1 END) * ({_n(7)} * 60 + {_n(8)})) END"""
 
 
-@query(None)
-def open_until_iso(spark, d):
-    """The same over every ISO date and instant; `open_until` reads the one shape that its SQL reads."""
+@query(f"SELECT check_id, coalesce({_UTC} > TIMESTAMP '{AS_OF} 00:00:00', false) AS is_open FROM event_results")
+def open_until(spark, d):
     return read(spark, d, "event_results").select("check_id", C.open_until(F.col("cfp_end_local"), F.lit(AS_OF + " 00:00:00").cast("timestamp_ntz")).alias("is_open"))
 
 
@@ -240,42 +262,34 @@ def overlap_anti(spark, d):
     return gating.overlapping(orders, F.col("day"), gating.CONFERENCE_DAYS, busy, ["o_custkey"]).select("o_orderkey")
 
 
-#: The trips that candidates must not meet: all events that start within sixty days, each interval once.
-_TRIPS = f"trips AS (SELECT a, b, min(check_id) AS check_id FROM (SELECT check_id, {s_iso('conf_start')} AS a, {s_iso('conf_end')} AS b FROM event_results) WHERE b >= a AND a BETWEEN DATE '{AS_OF}' AND DATE '{AS_OF}' + 60 GROUP BY a, b)"
+#: The trips that candidates must not meet: every valid interval of the events once, whenever it starts.
+_TRIPS = f"trips AS (SELECT a, b, min(check_id) AS check_id FROM (SELECT check_id, {s_iso('conf_start')} AS a, {s_iso('conf_end')} AS b FROM event_results) WHERE b >= a GROUP BY a, b)"
 
 
 def _trips(spark: SparkSession, d: str) -> DataFrame:
-    days = read(spark, d, "event_results").select("check_id", C.iso_date(F.col("conf_start")).alias("start"), C.iso_date(F.col("conf_end")).alias("end"))
-    return days.where((F.col("end") >= F.col("start")) & F.col("start").between(as_of(), F.date_add(as_of(), 60))).groupBy("start", "end").agg(F.min("check_id").alias("trip"))
-
-
-def _all_trips(spark: SparkSession, d: str) -> DataFrame:
-    """Every valid interval of the events once, whenever it starts."""
     days = read(spark, d, "event_results").select("check_id", C.iso_date(F.col("conf_start")).alias("start"), C.iso_date(F.col("conf_end")).alias("end"))
     return days.where(F.col("end") >= F.col("start")).groupBy("start", "end").agg(F.min("check_id").alias("trip"))
 
 
-@query(f"""WITH {_TRIPS}
-  SELECT s.ord, min_by(trips.check_id, (trips.a, trips.check_id)) AS trip FROM cfp_state s JOIN trips ON {s_iso('s.conf_date')} <= trips.b AND {s_iso('s.conf_date')} + 4 >= trips.a GROUP BY s.ord""")
-def trip_flags(spark, d):
-    return gating.first_overlap(_state(spark, d), "ord", C.iso_date(F.col("conf_date")), gating.CONFERENCE_DAYS, _trips(spark, d), "trip")
-
+_DAYS = f"""{_TRIPS}, met AS (SELECT day, arg_min(check_id, (a, check_id, b)) AS trip, min((a, check_id, b)) AS t FROM (SELECT DISTINCT {s_flex('conf_date')} AS day FROM cfp_state) d JOIN trips ON day <= b AND day + 4 >= a GROUP BY day)"""
+_TRAVEL = "'Travel conflict: overlaps with ' || t[2] || ' (' || t[1] || ' – ' || t[3] || ').'"
+_UNKNOWN = "Could not verify travel conflict — exact conference dates unknown."
 
-@query(None)
-def trip_flags_all(spark, d):
-    """Every state row with the earliest trip of all that it meets; open and approved ones that meet one become conflicts, those without an exact date get a caveat.
 
-    `trip_flags` knows the trips of its SQL only, and only the rows that meet one.
-    """
+@query(f"""WITH {_DAYS}, f AS (SELECT s.*, met.trip, status IN ('open', 'approved') AND met.trip IS NOT NULL AS hit, coalesce(bot_notes, '') AS n,
+  CASE WHEN status IN ('open', 'approved') AND met.trip IS NOT NULL THEN {_TRAVEL.replace('t[', 'met.t[')} WHEN status IN ('open', 'approved') AND {s_flex('conf_date')} IS NULL THEN '{_UNKNOWN}' END AS x FROM cfp_state s LEFT JOIN met ON {s_flex('s.conf_date')} = met.day)
+  SELECT ord, CAST(trip AS VARCHAR) AS trip, CASE WHEN hit THEN 'conflict' ELSE status END AS status, CASE WHEN x IS NULL THEN bot_notes WHEN contains(n, x) THEN n WHEN n = '' THEN x ELSE n || ' | ' || x END AS bot_notes FROM f""")
+def trip_flags(spark, d):
+    """Every state row with the earliest trip that it meets; open and approved ones that meet one become conflicts, those without an exact date get a caveat."""
     state = _state(spark, d).withColumn("day", C.flexible_date(F.col("conf_date")))
     # rows of one day meet the same trips: the interval join sees each day once
-    met = gating.first_overlap(state.select("day").distinct(), "day", F.col("day"), gating.CONFERENCE_DAYS, _all_trips(spark, d).withColumn("trip", F.struct("trip", "start", "end")), "trip")
+    met = gating.first_overlap(state.select("day").distinct(), "day", F.col("day"), gating.CONFERENCE_DAYS, _trips(spark, d).withColumn("trip", F.struct("trip", "start", "end")), "trip")
     rows = state.join(met, "day", "left")
     alive, t = F.coalesce(F.col("status").isin(EXPIRABLE), F.lit(False)), F.col("trip")
     hit = alive & t.isNotNull()
     note = F.when(hit, F.concat(F.lit("Travel conflict: overlaps with "), t["trip"].cast("string"), F.lit(" ("), t["start"].cast("string"), F.lit(" – "), t["end"].cast("string"), F.lit(").")))
-    note = note.when(alive & F.col("day").isNull(), "Could not verify travel conflict — exact conference dates unknown.")
-    return rows.select("ord", t["trip"].alias("trip"), F.when(hit, "conflict").otherwise(F.col("status")).alias("status"), F.when(note.isNotNull(), C.append_note(F.col("bot_notes"), note)).otherwise(F.col("bot_notes")).alias("bot_notes"))
+    note = note.when(alive & F.col("day").isNull(), _UNKNOWN)
+    return rows.select("ord", t["trip"].cast("string").alias("trip"), F.when(hit, "conflict").otherwise(F.col("status")).alias("status"), F.when(note.isNotNull(), C.append_note(F.col("bot_notes"), note)).otherwise(F.col("bot_notes")).alias("bot_notes"))
 
 
 @query("""SELECT count(*) AS seen, count(slug) AS with_key, count(*) FILTER (slug IS NULL) AS skipped_no_key, count(*) FILTER (known) AS skipped_existing, count(*) FILTER (slug IS NOT NULL AND NOT known) AS new_keys
@@ -310,13 +324,13 @@ def pool_merge(spark, d):
 # --- resolution ----------------------------------------------------------------------------
 @query(f"WITH {_RANKED} SELECT ord, norm, rn = 1 AS is_winner, n_group, skipped FROM groups")
 def url_winner(spark, d):
-    return _groups(spark, d).select("ord", "norm", "is_winner", "n_group", "skipped")
+    return resolve.ranked(_identified(spark, d), "norm", _order(), F.col("user_actioned"), "ord").select("ord", "norm", "is_winner", "n_group", "skipped")
 
 
 _FILL = " UNION ALL ".join(f"SELECT norm, '{f}' AS field_name, max(ord) FILTER (rn = 1) AS survivor, CASE WHEN bool_or({s_usable(f)}) FILTER (rn = 1) THEN max(ord) FILTER (rn = 1) WHEN NOT bool_or(coalesce(user_actioned, false)) FILTER (rn = 1) THEN min_by(ord, slug) FILTER ({s_usable(f)}) END AS donor FROM groups WHERE NOT skipped GROUP BY norm" for f in ("name", "city", "conf_date"))
 @query(f"WITH {_RANKED} SELECT norm, survivor, field_name, donor FROM ({_FILL}) WHERE donor IS NOT NULL")
 def gap_fill(spark, d):
-    return resolve.inherited(_groups(spark, d), "norm", "ord", "slug", ["name", "city", "conf_date"], "user_actioned")
+    return resolve.inherited(resolve.grouped(_identified(spark, d), "norm", _order(), "user_actioned", "ord", "slug", FILLS), "norm", FILLS)
 
 
 _FOLD = f"""RECURSIVE {_RANKED},
@@ -326,18 +340,13 @@ fold AS (SELECT norm, ord AS survivor, coalesce(bot_notes, '') AS notes, 0::BIGI
   FROM fold f JOIN lost l ON f.norm = l.norm AND l.k = f.k + 1 AND NOT f.frozen)"""
 @query(f"WITH {_FOLD} SELECT norm, survivor, max_by(notes, k) AS notes, max_by(n, k) AS n_merged FROM fold GROUP BY norm, survivor")
 def note_fold(spark, d):
-    g = _groups(spark, d)
-    frozen = F.coalesce("user_actioned", F.lit(False)) | F.coalesce("shown_in_brief", F.lit(False))
-    return resolve.folded_notes(g, "norm", "ord", "slug", "bot_notes", frozen)
+    return resolve.folded_notes(_noted(spark, d), "norm")
 
 
 @query(f"""WITH {_FOLD} SELECT * FROM (SELECT count(*) FILTER (NOT skipped) AS groups_merged, coalesce(CAST(sum(n - 1) FILTER (NOT skipped) AS BIGINT), 0) AS rows_dropped, count(*) FILTER (skipped) AS groups_skipped FROM (SELECT norm, any_value(skipped) AS skipped, any_value(n_group) AS n FROM groups GROUP BY norm)),
   (SELECT coalesce(CAST(sum(n) AS BIGINT), 0) AS notes_merged FROM (SELECT max_by(n, k) AS n FROM fold GROUP BY norm)), (SELECT count(*) FILTER (donor <> survivor) AS fields_inherited FROM ({_FILL}) WHERE donor IS NOT NULL)""")
 def dedup_report(spark, d):
-    g = _groups(spark, d)
-    frozen = F.coalesce("user_actioned", F.lit(False)) | F.coalesce("shown_in_brief", F.lit(False))
-    fills = resolve.inherited(g, "norm", "ord", "slug", ["name", "city", "conf_date"], "user_actioned")
-    return resolve.merge_report(g, "norm", fills, resolve.folded_notes(g, "norm", "ord", "slug", "bot_notes", frozen))
+    return resolve.merge_report(_noted(spark, d), FILLS)
 
 
 @query(f"SELECT i.arrival_id, t.slug AS state_slug FROM cfp_intake i LEFT JOIN (SELECT {s_identity('cfp_url')} AS norm, min(slug) AS slug FROM cfp_state WHERE {s_identity('cfp_url')} IS NOT NULL GROUP BY 1) t ON {s_identity('i.cfp_url')} = t.norm")
@@ -382,6 +391,12 @@ def verdict(spark, d):
     return _decisions(spark, d).select("arrival_id", "action", "reason", "new_deadline")
 
 
+@query(f"""WITH {_DECIDE} SELECT arrival_id, CASE WHEN action = 'verified' THEN nullif(cfp_end_local, '') END AS end_local, CASE WHEN action = 'dismiss' THEN CASE WHEN gone THEN '{verify.REMOVED}' WHEN shut THEN '{verify.CLOSED.split("%s")[0]}' || e || '{verify.CLOSED.split("%s")[1]}' ELSE '{verify.ONLINE}' END END AS note
+  FROM (SELECT a.*, l.cfp_end_local FROM acted a LEFT JOIN last l ON a.fetch_slug = l.slug)""")
+def verdict_notes(spark, d):
+    return _decisions(spark, d).select("arrival_id", "end_local", "note")
+
+
 @query(f"WITH {_DECIDE} SELECT " + ", ".join(f"count(*) FILTER (action = '{a}') AS n_{a}" for a in verify.ACTIONS) + " FROM acted")
 def verdict_summary(spark, d):
     return verify.summary(_decisions(spark, d))
@@ -528,7 +543,7 @@ kept AS (SELECT c.* FROM slugged c LEFT JOIN cfp_state s ON c.slug = s.slug
   AND NOT ({" OR ".join(f"starts_with(lower(c.name), '{p.lower()}')" for p in PREFIXES)}) AND CASE WHEN s.status IN ({_HID}) THEN false WHEN s.status = 'remind' THEN days_left <= coalesce(s.remind_before_days, 7) ELSE true END)"""
 
 
-def _pipeline(spark: SparkSession, d: str, trips: DataFrame) -> DataFrame:
+def _candidates(spark: SparkSession, d: str, trips: DataFrame) -> DataFrame:
     a = feed_a_candidates(read(spark, d, "feed_a_entries"), F.lit(NOW_MS), "entry_id").withColumn("feed", F.lit(0))
     b = feed_b_candidates(read(spark, d, "feed_b_entries"), as_of(), "entry_id").withColumn("feed", F.lit(1))
     rows = a.unionByName(b)
@@ -543,10 +558,4 @@ def _pipeline(spark: SparkSession, d: str, trips: DataFrame) -> DataFrame:
 
 @query(f"WITH {_CAND} SELECT ord, name, city, conf_date, cfp_url, deadline, slug, CAST(days_left AS INT) AS days_left FROM (SELECT *, row_number() OVER (PARTITION BY {s_strip('lower(name)')} ORDER BY feed, ord) AS rn FROM kept) WHERE rn = 1")
 def cfp_pipeline(spark, d):
-    return _pipeline(spark, d, _trips(spark, d))
-
-
-@query(None)
-def cfp_pipeline_all_trips(spark, d):
-    """The same against all trips; `cfp_pipeline` knows those of its SQL only."""
-    return _pipeline(spark, d, _all_trips(spark, d))
+    return _candidates(spark, d, _trips(spark, d))

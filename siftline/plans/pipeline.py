@@ -1,8 +1,8 @@
-"""A run from given candidates: expiry, verification, resolution, guarded commit, evidence gate and freshness, with one injected clock.
+"""A run from given candidates: expiry, verification with its notes and warnings, resolution, interests, guarded commit, evidence gate and freshness, with one injected clock.
 
 The caller brings candidates that have been discovered (`discover.open_candidates`)
 and gated (`gating.state_gate`, `overlapping`, `without_prefixes`, `is_virtual`,
-`in_regions`), and does interest matching and trip flags; no stage here does.
+`in_regions`); everything from there to the report is done here.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.columns import source_matches, source_rank, url_identity
-from siftline.operators import gating, maintain, resolve, verify
+from siftline.functions.columns import source_matches, source_rank, stale_prefix, strip_stale, url_identity
+from siftline.operators import gating, interests, maintain, resolve, verify
 from siftline.sources.store import RunState, TableStore
 
 
@@ -26,23 +26,43 @@ class Settings:
     priority: list[str]
     expirable: list[str] = field(default_factory=lambda: ["open", "approved"])
     fills: list[str] = field(default_factory=lambda: ["name", "city", "conf_date"])
+    interests: list[dict] | None = None
 
 
-def merged(state: DataFrame, s: Settings) -> DataFrame:
-    """The state after identity resolution: winners with filled gaps and merged notes, and all rows of no group."""
+def merged(state: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(state after identity resolution, keys of the rows that were merged away): winners with filled gaps and merged notes, and all rows of no group."""
     rows = state.withColumn("__norm", url_identity(F.col("cfp_url")))
     order = resolve.winner_order(F.col("user_actioned"), F.col("shown_in_brief"), source_matches(F.col("source"), F.col("cfp_url"), s.hosts), source_rank(F.col("source"), s.priority), F.col("slug"))
-    groups = resolve.ranked(rows, "__norm", order, F.col("user_actioned"), "slug")
-    fills = resolve.inherited(groups, "__norm", "slug", "slug", s.fills, "user_actioned").where(F.col("donor") != F.col("survivor"))
     frozen = F.coalesce("user_actioned", F.lit(False)) | F.coalesce("shown_in_brief", F.lit(False))
-    notes = resolve.folded_notes(groups, "__norm", "slug", "slug", "bot_notes", frozen).where(F.col("n_merged") > 0).select(F.col("survivor").alias("slug"), F.col("notes").alias("__notes"))
-    lost = groups.where(~F.col("skipped") & ~F.col("is_winner")).select("slug")
-    kept = rows.join(lost, "slug", "left_anti").join(notes, "slug", "left").withColumn("bot_notes", F.coalesce("__notes", "bot_notes"))
-    for f in s.fills:
-        donor = fills.where(F.col("field_name") == f).select(F.col("survivor").alias("slug"), F.col("donor").alias("__donor"))
-        value = donor.join(rows.select(F.col("slug").alias("__donor"), F.col(f).alias("__value")), "__donor").select("slug", "__value")
-        kept = kept.join(value, "slug", "left").withColumn(f, F.coalesce("__value", f)).drop("__value")
-    return kept.select(*state.columns)
+    groups = resolve.grouped(rows, "__norm", order, "user_actioned", "slug", "slug", s.fills, "bot_notes", frozen)
+    lost = resolve.merges(resolve.ranked(rows, "__norm", order, F.col("user_actioned"), "slug"), "__norm", "slug").select(F.col("loser").alias("slug"))
+    new = groups.where(~F.col("skipped")).select(
+        F.col("w.id").alias("slug"), resolve.folded().alias("__m"),
+        *[F.when(~F.col("w").getField("own_" + f) & ~F.col("w.p"), F.col("d_" + f).getField("v")).alias("__" + f) for f in s.fills],
+    )
+    kept = state.join(lost, "slug", "left_anti").join(new, "slug", "left")
+    kept = kept.withColumns({"bot_notes": F.when(F.col("__m.n") > 0, F.col("__m.t")).otherwise(F.col("bot_notes")), **{f: F.coalesce("__" + f, f) for f in s.fills}})
+    return kept.select(*state.columns), lost
+
+
+def applied(decisions: DataFrame, today: str, columns: list[str]) -> DataFrame:
+    """The rows that decisions leave, with what each may write: status, dates, the note of a dismissal, the warning of a failed check and its removal."""
+    stored, fetch = F.col("cohort") == "stored", F.col("route") == "fetch"
+    failed = F.col("action") == "verify_failed"
+    # only an authority's rows can fail; any other row, and one that was verified, loses an old warning
+    noted = F.when(F.col("writes_status") & (F.col("action") == "dismiss") & fetch, F.coalesce("note", "bot_notes")).when(F.col("writes_status") & failed & (F.col("route") != "other"), stale_prefix(F.col("bot_notes"), F.lit(today).cast("date")))
+    noted = noted.when(F.col("writes_status"), strip_stale(F.col("bot_notes"))).otherwise(F.col("bot_notes"))
+    new = {
+        "status": F.when(fetch, F.coalesce("new_status", F.lit("open"))).otherwise(F.coalesce("status", F.lit("open"))),
+        "last_verified": F.when(F.col("route") == "other", F.lit(today)).otherwise(F.col("new_last_verified")),
+        "deadline": F.when(F.col("writes_fields"), F.coalesce("new_deadline", "deadline")).otherwise(F.col("deadline")),
+        "_verify_failed": F.when(F.col("route") != "other", F.col("new_failed")), "updated": F.lit(today), "bot_notes": noted,
+    }
+    if "stale" in columns:
+        new["stale"] = F.when(F.col("writes_fields"), F.when(failed & (F.col("route") != "other"), True)).otherwise(F.col("stale"))
+    rows = decisions.where(F.col("action") != "drop").withColumns(new)
+    # a new candidate that could not be verified may come back another day
+    return rows.where(stored | (F.col("route") == "other") | (F.col("action") == "verified")).select(*columns)
 
 
 def run(store: TableStore, stages: RunState, candidates: DataFrame, results: DataFrame, today: str, now: str, config: dict, s: Settings) -> dict:
@@ -50,33 +70,47 @@ def run(store: TableStore, stages: RunState, candidates: DataFrame, results: Dat
 
     A stage that a broken run of the same day finished is read, not computed again.
     """
-    spark, day = store.spark, F.lit(today).cast("date")
+    day = F.lit(today).cast("date")
     done = stages.begin(today)
     state = store.read()
     state = candidates.limit(0) if state is None else state
-    if "working_set" not in done:
+    if "working_set" not in done or "merged_away" not in done:
         state = maintain.expired(maintain.backfilled_name(maintain.backfilled_source(state, s.hosts)[0])[0], day, s.authority, s.hosts, s.expirable)[0].drop("outcome")
         fresh = candidates.join(state.select("slug"), "slug", "left_anti").dropDuplicates(["slug"])
         cohort = state.where(F.col("status").isin(s.expirable)).withColumn("cohort", F.lit("stored")).unionByName(fresh.withColumn("cohort", F.lit("new")))
-        decisions = verify.decided(verify.routed(cohort, s.authority, s.hosts), results)
-        stages.save("verify", decisions, today)
-        decisions = maintain.prioritised(stages.load("verify"), today)
-        new = decisions.where(F.col("action") != "drop")
-        kept = new.withColumns({"status": F.coalesce("new_status", F.lit("open")), "last_verified": F.when(F.col("route") == "fetch", F.col("new_last_verified")).otherwise(F.lit(today)), "deadline": F.when(F.col("writes_fields"), F.coalesce("new_deadline", "deadline")).otherwise(F.col("deadline")), "_verify_failed": F.when(F.col("route") == "fetch", F.col("new_failed")), "updated": F.lit(today)})
-        kept = kept.where((F.col("cohort") == "stored") | (F.col("route") != "fetch") | (F.col("action") == "verified")).select(*state.columns)
+        stages.save("verify", verify.decided(verify.routed(cohort, s.authority, s.hosts), results), today)
+        kept = applied(maintain.prioritised(stages.load("verify"), today), today, state.columns)
         rest = state.join(kept.select("slug"), "slug", "left_anti")
-        stages.save("working_set", merged(rest.unionByName(kept), s), today)
-    evidence = verify.evidence(stages.load("verify"), today)
-    gate = gating.evidence_state(evidence, day).first()
-    report = store.upsert(stages.load("working_set"), "slug", "user_actioned")
+        whole, lost = merged(rest.unionByName(kept), s)
+        if s.interests is not None and "matched_interests" in state.columns:
+            found = interests.matched(whole, "slug", "name", "bot_notes", "source", s.interests).select("slug", F.col("interests").alias("__i"))
+            whole = whole.join(found, "slug", "left").withColumn("matched_interests", maintain.interests_to_store(F.lit(True), F.col("__i"), F.col("matched_interests"), F.col("user_actioned"))).drop("__i")
+        stages.save("working_set", whole, today)
+        stages.save("merged_away", lost, today)
+    decisions = stages.load("verify")
+    gate = gating.evidence_state(verify.evidence(decisions, today), day).first()
+    report = store.upsert(stages.load("working_set"), "slug", "user_actioned", stages.load("merged_away"))
+    report["merged_away"] = report.pop("removed")
     after = store.read()
-    gone = after.join(spark.read.parquet(str(stages.root / "working_set")).select("slug"), "slug", "left_anti")
-    removed = gone.where(~F.coalesce("user_actioned", F.lit(False))).select("slug")
-    report["merged_away"] = removed.count()
-    if report["merged_away"]:
-        store.commit(lambda disk: disk.join(removed, "slug", "left_anti"))
+    _, held = gating.suppressed(after.where(F.col("status").isin(s.expirable)), "last_verified", "_verify_failed", day)
+    stages.save("suppressed", held, today)  # the log of what may not be shown
+    report["suppressed"] = stages.load("suppressed").count()
+    dismissed_now = after.where(F.col("updated") == today)
+    report["note_violations"] = maintain.note_violations(dismissed_now, "status", "bot_notes", [verify.DISMISSED], []).count()
+    report |= verification_report(decisions, gate["reason"], gate["advance"], now)
     if gate["advance"]:
         stages.done()
     else:
         stages.invalidate("verify")
     return report | {"reason": gate["reason"], "config": gating.freshness_stamp(config, gate["advance"], now)}
+
+
+def verification_report(decisions: DataFrame, reason: str, advance: bool, now: str) -> dict:
+    """What a run says about itself: candidates added, stored rows verified and failed, and whether its work is evidenced."""
+    stored, failed = F.col("cohort") == "stored", F.col("action") == "verify_failed"
+    ours = F.col("route") != "other"
+    counts = decisions.agg(
+        F.count_if(~stored & (~ours | (F.col("action") == "verified"))).alias("new_candidates_added"), F.count_if(stored & ours & (F.col("action") == "verified")).alias("existing_verified"),
+        F.count_if(stored & ours & failed).alias("existing_verify_failed"),
+    ).first()
+    return {"checked_at": now, **counts.asDict(), "verification": reason if advance else "skipped"}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from siftline.plans import core, instants
+from siftline.plans import core, instants, records
 
-QUERIES = {**core.QUERIES, **instants.QUERIES}
-SQL: dict[str, str] = {**core.SQL}
+QUERIES = {**core.QUERIES, **records.QUERIES, **instants.QUERIES}
+SQL: dict[str, str] = {**core.SQL, **records.SQL, **instants.SQL}
 FLAGSHIP = core.cfp_pipeline

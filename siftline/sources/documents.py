@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,6 +137,33 @@ def feed_text(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return docs.select(F.posexplode(F.from_json("value", schema)).alias("ord", "e")).select(F.col("ord").cast("bigint").alias("ord"), "e.*")
 
 
+def fetch_feed(spark: SparkSession, label: str, fetch: Callable[[], bytes | str], schema: str, warnings: list[str]) -> DataFrame:
+    """Entries of one feed, which is one response; a feed that fails or is no array gives no rows and one warning, an entry that is no object none."""
+    try:
+        found = json.loads(body.decode("utf-8", errors="replace") if isinstance(body := fetch(), bytes) else body)
+    except Exception as e:  # noqa: BLE001 - whatever fails, the other feed still counts
+        warnings.append(f"{label} unreachable: {e}")
+        found = []
+    if not isinstance(found, list):
+        warnings.append(f"{label}: unexpected format (not a list)")
+        found = []
+    good = [(n, json.dumps(e)) for n, e in enumerate(found) if isinstance(e, dict)]
+    entry = schema.removeprefix("array<").removesuffix(">")
+    rows = spark.createDataFrame(good, "ord bigint, body string")
+    return rows.select("ord", F.from_json("body", entry).alias("e")).select("ord", "e.*")
+
+
+def gathered(spark: SparkSession, fetch_a: Callable[[], bytes | str], fetch_b: Callable[[], bytes | str], now_ms: int, today: str) -> tuple[DataFrame, list[str]]:
+    """(candidates of both feeds, warnings): a feed that fails costs its own candidates only; none at all is a warning of its own."""
+    warnings: list[str] = []
+    a = feed_a_candidates(fetch_feed(spark, "feed A", fetch_a, FEED_A, warnings), F.lit(now_ms)).withColumn("feed", F.lit(0))
+    b = feed_b_candidates(fetch_feed(spark, "feed B", fetch_b, FEED_B, warnings), F.lit(today).cast("date")).withColumn("feed", F.lit(1))
+    both = a.unionByName(b)
+    if both.isEmpty():
+        warnings.append("both feeds are empty: look elsewhere")
+    return both, warnings
+
+
 def feed_a_candidates(entries: DataFrame, now_ms: Column, order: str = "ord") -> DataFrame:
     """Candidates of the first feed: still open at the instant, named, in one flat shape."""
     rows = entries.where((F.col("untilDate") > now_ms) & usable(F.col("conf.name")))

@@ -119,18 +119,34 @@ class TableStore:
                 shutil.rmtree(self.root / f"v{old}", ignore_errors=True)
             return n
 
-    def upsert(self, work: DataFrame, key: str, protected: str, wait: float | None = None) -> dict[str, int]:
-        """Guarded upsert of a working set; rows protected on disk win.  Gives the counts of a commit."""
+    def upsert(self, work: DataFrame, key: str, protected: str, gone: DataFrame | None = None, wait: float | None = None) -> dict[str, int]:
+        """Guarded upsert of a working set, and removal of the `gone` keys, in one commit; rows protected on disk win.
+
+        Both meet the version that is current under the lock: rows that another
+        writer has committed since the working set was made stay.  Gives the
+        counts of the commit.
+        """
         report: dict[str, int] = {}
+        held: list[DataFrame] = []
 
         def change(disk: DataFrame | None) -> DataFrame | None:
             base = work.limit(0) if disk is None else disk
-            merged = guarded_upsert(base, work.select(*base.columns), key, protected).cache()
-            counts = {r[0]: r[1] for r in merged.groupBy("outcome").count().collect()}  # four outcomes
-            report.update(written=counts.get("inserted", 0) + counts.get("updated", 0), skipped_protected=counts.get("skipped_protected", 0), total_records=sum(counts.values()))
-            return merged.drop("outcome") if report["written"] else None
+            merged = guarded_upsert(base, work.select(*base.columns), key, protected)
+            if gone is not None:
+                out = gone.select(key, F.lit(True).alias("__gone")).distinct()
+                left = F.coalesce("__gone", F.lit(False)) & (F.col("outcome") == "untouched") & ~F.coalesce(protected, F.lit(False))
+                merged = merged.join(out, key, "left").withColumn("outcome", F.when(left, "removed").otherwise(F.col("outcome"))).drop("__gone")
+            held.append(merged.cache())
+            counts = {r[0]: r[1] for r in merged.groupBy("outcome").count().collect()}  # five outcomes
+            removed = counts.pop("removed", 0)
+            report.update(written=counts.get("inserted", 0) + counts.get("updated", 0), skipped_protected=counts.get("skipped_protected", 0), total_records=sum(counts.values()), **({} if gone is None else {"removed": removed}))
+            return merged.where(F.col("outcome") != "removed").drop("outcome") if report["written"] or removed else None
 
-        self.commit(change, wait)
+        try:
+            self.commit(change, wait)
+        finally:
+            for df in held:
+                df.unpersist()
         return report
 
 

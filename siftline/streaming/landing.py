@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -10,9 +10,9 @@ from siftline.sources.store import TableStore
 
 
 def newest(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row per key of a micro-batch, the last in `order`."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
-    return batch.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    """One row per key of a micro-batch, the last in `order`: an aggregate with map-side combination."""
+    best = batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.struct(*order)).alias("__r"))
+    return best.select(*[F.col(key) if c == key else F.col(f"__r.`{c}`").alias(c) for c in batch.columns])
 
 
 def upsert_stream(spark: SparkSession, folder: str, schema: StructType, store: TableStore, key: str, protected: str, order: list[str], checkpoint: str, per_batch: int = 100):

@@ -36,5 +36,5 @@ def test_open_until_equals_fromisoformat(spark, zone):
 
 def test_the_query_reads_every_iso_writing(spark, tmp_path):
     spark.createDataFrame([(i, e) for i, e in enumerate(ENDS)], "check_id bigint, cfp_end_local string").write.parquet(str(tmp_path / "event_results.parquet"))
-    got = {ENDS[r["check_id"]]: r["is_open"] for r in core.QUERIES["open_until_iso"](spark, str(tmp_path)).collect()}
+    got = {ENDS[r["check_id"]]: r["is_open"] for r in core.QUERIES["open_until"](spark, str(tmp_path)).collect()}
     assert got == {e: expected(e) for e in ENDS}

@@ -14,9 +14,13 @@ PRIO = ["beans.example", "api", "feed.example"]
 STATE = "ord bigint, slug string, cfp_url string, source string, name string, city string, bot_notes string, user_actioned boolean, shown_in_brief boolean"
 
 
-def groups(spark, rows):
+def identified(spark, rows):
     df = spark.createDataFrame(rows, STATE).withColumn("norm", C.url_identity(F.col("cfp_url")))
-    order = resolve.winner_order(F.col("user_actioned"), F.col("shown_in_brief"), C.source_matches(F.col("source"), F.col("cfp_url"), HOSTS), C.source_rank(F.col("source"), PRIO), F.col("slug"))
+    return df, resolve.winner_order(F.col("user_actioned"), F.col("shown_in_brief"), C.source_matches(F.col("source"), F.col("cfp_url"), HOSTS), C.source_rank(F.col("source"), PRIO), F.col("slug"))
+
+
+def groups(spark, rows):
+    df, order = identified(spark, rows)
     return resolve.ranked(df, "norm", order, F.col("user_actioned"), "ord")
 
 
@@ -45,12 +49,17 @@ def test_winner_tiers(spark, rows, expected):
 
 
 def test_gap_fill_and_notes(spark):
-    g = groups(spark, [(1, "a", U, "feed.example", "A", " ", "old", None, None), (2, "b", U, "api", None, None, "", None, None), (3, "c", U, "x", "C", "town", "old", None, None), (4, "d", U, "x", "D", "city", "new", None, None)])
-    fills = {(r["field_name"], r["donor"]) for r in resolve.inherited(g, "norm", "ord", "slug", ["name", "city"], "user_actioned").collect()}
-    assert fills == {("name", 1), ("city", 3)}
-    notes = resolve.folded_notes(g, "norm", "ord", "slug", "bot_notes", F.lit(False)).first()
+    rows = [(1, "a", U, "feed.example", "A", " ", "old", None, None), (2, "b", U, "api", None, None, "", None, None), (3, "c", U, "x", "C", "town", "old", None, None), (4, "d", U, "x", "D", "city", "new", None, None)]
+    df, order = identified(spark, rows)
+    made = lambda frozen: resolve.grouped(df, "norm", order, "user_actioned", "ord", "slug", ["name", "city"], "bot_notes", F.lit(frozen))
+    for g in (made(False), resolve.grouped(df, "norm", order, "user_actioned", "ord", "slug", ["name", "city"])):
+        assert {(r["field_name"], r["donor"]) for r in resolve.inherited(g, "norm", ["name", "city"]).collect()} == {("name", 1), ("city", 3)}
+    notes = resolve.folded_notes(made(False), "norm").first()
     assert (notes["survivor"], notes["notes"], notes["n_merged"]) == (2, "[merged from a]: old | [merged from d]: new", 2)
-    assert resolve.folded_notes(g, "norm", "ord", "slug", "bot_notes", F.lit(True)).first()["n_merged"] == 0
+    assert resolve.folded_notes(made(True), "norm").first()["n_merged"] == 0
+    assert resolve.merge_report(made(False), ["name", "city"]).first().asDict() == {"groups_merged": 1, "rows_dropped": 3, "groups_skipped": 0, "notes_merged": 2, "fields_inherited": 2}
+    lost = resolve.merges(resolve.ranked(df, "norm", order, F.col("user_actioned"), "ord"), "norm", "ord").collect()
+    assert sorted((r["winner"], r["loser"]) for r in lost) == [(2, 1), (2, 3), (2, 4)]
 
 
 def test_lookup_and_first_seen(spark):
@@ -87,7 +96,7 @@ def test_prefixes_virtual_and_regions(spark):
 
 @pytest.mark.parametrize(
     ("last", "reason"),
-    [(None, "no_cursor"), ("x", "cursor_unparseable"), ("2026-06-01T00:00:00", "cursor_naive"), ("2026-06-09T00:00:00Z", "cursor_future"), ("2026-05-29T00:00:00Z", "cadence_elapsed"), ("2026-06-01T00:00:00Z", "within_cadence")],
+    [(None, "no_cursor"), ("x", "cursor_unparseable"), ("2026-06-01T00:00:00", "cursor_naive_datetime"), ("2026-06-09T00:00:00Z", "cursor_future"), ("2026-05-29T00:00:00Z", "cadence_elapsed"), ("2026-06-01T00:00:00Z", "within_cadence")],
 )
 def test_cadence(spark, last, reason):
     df = spark.createDataFrame([(last,)], "l string").select(gating.cadence(F.to_timestamp(F.lit("2026-06-02T00:00:00Z")), F.col("l")).alias("r"))
@@ -96,9 +105,9 @@ def test_cadence(spark, last, reason):
 
 def test_evidence(spark):
     schema = "run_date string, cohort_size bigint, slugs_expected bigint, verified bigint, dismissed bigint, dropped bigint"
-    rows = [("2026-06-01", 3, 3, 1, 0, 0), ("2026-06-01", 0, 0, 0, 0, 0), ("2026-06-01", 2, 0, 0, 0, 0), ("2026-05-31", 3, 3, 3, 0, 0), (None, None, None, None, None, None)]
+    rows = [("2026-06-01", 3, 3, 1, 0, 0), ("2026-06-01", 0, 0, 0, 0, 0), ("2026-06-01", 2, 0, 0, 0, 0), ("2026-05-31", 3, 3, 3, 0, 0), (None, None, None, None, None, None), ("2026-06-01", None, None, None, None, None), ("2026-06-01", None, None, 1, None, None), ("2026-06-01", None, 0, None, None, None)]
     got = gating.evidence_state(spark.createDataFrame(rows, schema), F.lit("2026-06-01").cast("date")).collect()
-    assert [(r["reason"], r["advance"]) for r in got] == [("live", True), ("none-required", True), ("no-evidence", False), ("other-date", False), ("other-date", False)]
+    assert [(r["reason"], r["advance"]) for r in got] == [("live", True), ("none-required", True), ("no-evidence", False), ("other-date", False), ("other-date", False), ("no-evidence", False), ("live", True), ("none-required", True)]
 
 
 def test_decisions(spark):

@@ -68,6 +68,47 @@ def test_a_whole_run_and_its_repeat(spark, tmp_path):
     assert set(got) == {"old", "mine", "k1", "twin", "k2", "plain"}
     assert got["old"]["status"] == "expired" and got["k1"]["status"] == "dismissed" and got["k2"]["deadline"] == "2026-09-01" and got["mine"]["status"] == "sent"
     assert got["twin"]["name"] == "Twin" and got["twin"]["bot_notes"] == "t | [merged from twin2]: u"
+    assert got["k1"]["bot_notes"] == "Dismissed: MISSED — the call closed on 2026-05-01." and report["note_violations"] == 0
+    assert (report["new_candidates_added"], report["existing_verified"], report["existing_verify_failed"], report["verification"]) == (2, 0, 0, "live")
     assert report["reason"] == "live" and report["config"]["_last_checked"] == "2026-06-01T06:00:00Z" and report["merged_away"] == 1
     again = run(store, stages, fresh, results, "2026-06-01", "2026-06-01T07:00:00Z", {}, s)
     assert again["merged_away"] == 0 and {r["slug"] for r in store.read().collect()} == set(got)
+
+
+class _Beside(RunState):
+    """Another writer commits while this run is about to."""
+
+    def __init__(self, spark, root, store, rows):
+        super().__init__(spark, root)
+        self.store, self.rows = store, rows
+
+    def load(self, stage):
+        if stage == "merged_away" and self.rows is not None:
+            self.store.upsert(self.rows, "slug", "user_actioned")
+            self.rows = None
+        return super().load(stage)
+
+
+def test_a_run_keeps_what_another_writer_commits_meanwhile(spark, tmp_path):
+    s = Settings("api", [("s.example", "api")], ["api"])
+    store = TableStore(spark, tmp_path / "t")
+    store.upsert(spark.createDataFrame([row("a", url="https://h.example/x"), row("b", url="https://h.example/x/"), row("c", url="https://h.example/x?y")], STATE), "slug", "user_actioned")
+    beside = spark.createDataFrame([row("other"), row("c", url="https://h.example/x?y", status="sent", actioned=True)], STATE)
+    results = spark.createDataFrame([], "slug string, has_error boolean, removed boolean, cfp_open boolean, is_online boolean, cfp_end_local string")
+    report = run(store, _Beside(spark, tmp_path / "r", store, beside), spark.createDataFrame([row("new", url="https://n.example/")], STATE), results, "2026-06-01", "2026-06-01T06:00:00Z", {}, s)
+    # b was merged into a; c, merged away too, has meanwhile been decided by a user and stays
+    assert {r["slug"] for r in store.read().collect()} == {"a", "c", "new", "other"} and report["merged_away"] == 1
+
+
+def test_warnings_of_failed_checks_come_and_go(spark, tmp_path):
+    s = Settings("api", [("s.example", "api")], ["api"], interests=[{"id": "rust", "keywords": ["rust"]}])
+    schema = STATE + ", stale boolean, matched_interests array<string>"
+    store, stages = TableStore(spark, tmp_path / "t"), RunState(spark, tmp_path / "r")
+    rows = [(*row("k1", url="https://s.example/k1", source="api", name="Rust Days", notes="x"), None, ["old"]), (*row("feed", source="feed.example", notes="[stale since 2026-01-01] y"), True, None), (*row("k2", url="https://s.example/k2", source="api", notes="[stale since 2026-01-01] z"), True, None)]
+    store.upsert(spark.createDataFrame(rows, schema), "slug", "user_actioned")
+    results = spark.createDataFrame([("k2", False, None, True, False, "2026-09-01T00:00")], "slug string, has_error boolean, removed boolean, cfp_open boolean, is_online boolean, cfp_end_local string")
+    report = run(store, stages, store.read().limit(0), results, "2026-06-01", "2026-06-01T06:00:00Z", {}, s)
+    got = {r["slug"]: r for r in store.read().collect()}
+    assert (got["k1"]["bot_notes"], got["k1"]["stale"], got["k1"]["_verify_failed"], got["k1"]["matched_interests"]) == ("[stale since 2026-06-01] x", True, True, ["rust"])
+    assert (got["feed"]["bot_notes"], got["feed"]["stale"], got["feed"]["_verify_failed"], got["feed"]["matched_interests"]) == ("y", None, None, [])
+    assert (got["k2"]["bot_notes"], got["k2"]["deadline"], got["k2"]["last_verified"]) == ("z", "2026-09-01", "2026-06-01") and report["existing_verify_failed"] == 1 and report["suppressed"] == 1
