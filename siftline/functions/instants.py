@@ -81,7 +81,6 @@ WRITINGS: list[tuple[str, bool]] = [
 ]
 
 PARTS = "y m d b p q w wd es em y2 m2 d2 b2 h i s ap zs zh zm za zn".split()
-LONGEST = 120  # a longer text is no date in any of the writings
 
 
 @lru_cache(maxsize=1)
@@ -149,9 +148,8 @@ def normal_form(df: DataFrame, text: str, zone: str | None = None, out: str = "n
         k += "_"
     pattern, parts = alternation()
     clean = F.trim(F.regexp_replace(F.col(f"`{text}`"), r"(?U)[\s\u200b\u200e\u200f\ufeff]+", " "))
-    clean = F.when(F.length(clean) <= LONGEST, clean)
     hit = F.regexp_replace(clean, pattern, parts)
-    df = df.withColumn(k, F.when(hit.startswith("\u0001"), F.split(F.substring(hit, 2, 4096), "\u0001")))
+    df = df.withColumn(k, F.when(hit.startswith("\u0001"), F.split(F.substr(hit, F.lit(2)), "\u0001")))
 
     df = df.withColumns({f"{k}t_{p}": F.nullif(F.get(F.col(k), i), F.lit("")) for i, p in enumerate(PARTS)})
     words = {"b", "b2", "ap", "zs", "za", "zn"}

@@ -34,5 +34,15 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_report": p3_report}
-SQL: dict[str, str] = {}
+def p3_iso(spark: SparkSession, d: str) -> DataFrame:
+    """The normal forms of values that are plain ISO dates, or instants in UTC."""
+    found = normal_form(stacked(spark, d), "value", "zone").where(F.col("normal_form").isNotNull() & F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}Z)?\z"))
+    return found.select("table_name", "row_id", "field_name", "normal_form")
+
+
+_ALL = "SELECT 'cfp_state' AS table_name, ord AS row_id, 'deadline' AS field_name, deadline AS v FROM cfp_state UNION ALL SELECT 'cfp_state', ord, 'conf_date', conf_date FROM cfp_state UNION ALL SELECT 'event_results', check_id, 'cfp_end_local', cfp_end_local FROM event_results"
+P3_ISO = rf"""SELECT table_name, row_id, field_name, CASE WHEN length(v) = 10 THEN strftime(try_cast(v AS DATE), '%Y-%m-%d') ELSE strftime(try_strptime(v, '%Y-%m-%dT%H:%M:%SZ'), '%Y-%m-%dT%H:%M:%SZ') END AS normal_form FROM ({_ALL})
+  WHERE regexp_matches(v, '^\d{{4}}-\d{{2}}-\d{{2}}(T\d{{2}}:\d{{2}}:\d{{2}}Z)?$') AND CASE WHEN length(v) = 10 THEN try_cast(v AS DATE) IS NOT NULL ELSE try_strptime(v, '%Y-%m-%dT%H:%M:%SZ') IS NOT NULL END"""
+
+QUERIES = {"p3_found": p3_found, "p3_report": p3_report, "p3_iso": p3_iso}
+SQL: dict[str, str] = {"p3_iso": P3_ISO}

@@ -45,3 +45,9 @@ def test_clashing_columns_repeats_and_empty(spark):
     got = normal_form(df, "__inst_", out="out")
     assert got.columns == ["__inst_", "__inst_y", "out"] and [r["out"] for r in got.collect()] == ["2026-01-02"] * 3
     assert normal_form(df.limit(0), "__inst_").count() == 0
+
+
+def test_texts_of_any_length(spark):
+    rows = [("2026-05-01T10:00:00." + "123456789" * 40 + "Z", "2026-05-01T10:00:00Z"), ("2026-05-01" + " " * 500, "2026-05-01"), ("x" * 300_000, None), ("2026-05-01 " * 20_000, None), ("1" * 100_000, None)]
+    got = normal_form(spark.createDataFrame(rows, "v string, want string"), "v").collect()
+    assert [r["normal_form"] for r in got] == [w for _, w in rows]
