@@ -70,20 +70,42 @@ def pieces(sizes: DataFrame, capacity: int) -> DataFrame:
     return cut.select("row_id", "part", start.alias("token_from"), F.least(F.lit(capacity), F.col("n") - start).cast("int").alias("n_tokens"))
 
 
-def packed(sizes: DataFrame, capacity: int) -> DataFrame:
-    """(pack_no, position, token_offset, row_id, part, token_from, n_tokens) of every text; `sizes` has (row_id, n_tokens)."""
-    items = pieces(sizes, capacity)
-    counts = {r[0]: r[1] for r in items.groupBy("n_tokens").count().collect()}  # at most capacity + 1 rows
-    entries, packs = plan(counts, capacity)
-    packs = max(packs, 1)
-    spark = sizes.sparkSession
-    # ranks within a length: rows of (length, part) are numbered apart, part totals shift them
-    split = spark.createDataFrame([(n, -(-c // PART_ROWS)) for n, c in counts.items()], "n_tokens int, __parts int")
-    items = items.join(F.broadcast(split), "n_tokens").withColumn("__p", F.pmod(F.xxhash64("row_id", "part"), F.col("__parts")))
+def ranked(items: DataFrame, order: list[str], first: dict[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """(items with `rank`, their histogram): numbers among items of one `n_tokens` from `first` on, in parts so that no length is sorted by one task."""
+    counts = {r[0]: r[1] for r in items.groupBy("n_tokens").count().collect()}  # lengths of packed pieces: at most capacity + 1 rows
+    split = items.sparkSession.createDataFrame([(n, -(-c // PART_ROWS), first.get(n, 0)) for n, c in counts.items()], "n_tokens int, __parts int, __first bigint")
+    items = items.join(F.broadcast(split), "n_tokens").withColumn("__p", F.pmod(F.xxhash64(*order), F.col("__parts")))
     totals = items.groupBy("n_tokens", "__p").agg(F.count("*").alias("__n"))
     before = totals.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("n_tokens").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    items = items.withColumn("__r", F.row_number().over(Window.partitionBy("n_tokens", "__p").orderBy("row_id", "part")) - 1)
-    items = items.join(before, ["n_tokens", "__p"]).withColumn("rank", F.col("__r") + F.col("__before"))
+    items = items.withColumn("__r", F.row_number().over(Window.partitionBy("n_tokens", "__p").orderBy(*order)) - 1)
+    items = items.join(before, ["n_tokens", "__p"]).withColumn("rank", F.col("__r") + F.col("__before") + F.col("__first"))
+    return items.drop("__parts", "__first", "__p", "__r", "__before"), counts
+
+
+def packed(sizes: DataFrame, *capacities: int) -> dict[int, DataFrame]:
+    """Per capacity (pack_no, position, token_offset, row_id, part, token_from, n_tokens) of every text; `sizes` has (row_id, n_tokens).
+
+    Texts are ranked among equal lengths once, for all capacities; only what a
+    capacity splits gets further ranks behind those.
+    """
+    most = max(capacities)
+    whole, counts = ranked(sizes.where(F.col("n_tokens") <= most).select("row_id", F.col("n_tokens").cast("int").alias("n_tokens")), ["row_id"], {})
+    whole = checkpointed(whole)
+    out = {}
+    for capacity in dict.fromkeys(capacities):
+        mine = {n: c for n, c in counts.items() if n <= capacity}
+        cut, more = ranked(pieces(sizes.where(F.col("n_tokens") > capacity), capacity), ["row_id", "part"], mine)
+        kept = whole.where(F.col("n_tokens") <= capacity).select("row_id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("token_from"), "n_tokens", "rank")
+        items = kept.unionByName(cut.select(kept.columns)) if more else kept
+        out[capacity] = _placed(items, {n: mine.get(n, 0) + more.get(n, 0) for n in {*mine, *more}}, capacity)
+    return out
+
+
+def _placed(items: DataFrame, counts: dict[int, int], capacity: int) -> DataFrame:
+    """Each piece at the place that the plan of the histogram has for its length and rank."""
+    entries, packs = plan(counts, capacity)
+    packs = max(packs, 1)
+    spark = items.sparkSession
     depth = {}
     for n in entries:
         for _, _, position, _ in entries[n]:
@@ -116,9 +138,11 @@ def _sizes(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_packs(spark: SparkSession, d: str) -> DataFrame:
     """Pack and position of every text, for each capacity of pack_sizes."""
-    sizes, out = _sizes(spark, d), None
-    for row in read(spark, d, "pack_sizes").orderBy("pack_id").collect():  # a fixed, tiny table
-        one = packed(sizes, row["capacity_tokens"]).withColumn("pack_id", F.lit(row["pack_id"]))
+    out = None
+    wanted = read(spark, d, "pack_sizes").orderBy("pack_id").collect()  # a fixed, tiny table
+    packs = packed(_sizes(spark, d), *[r["capacity_tokens"] for r in wanted])
+    for row in wanted:
+        one = packs[row["capacity_tokens"]].withColumn("pack_id", F.lit(row["pack_id"]))
         out = one if out is None else out.unionByName(one)
     return out.select("pack_id", "pack_no", "position", "token_offset", F.col("row_id").alias("doc_id"), "part", "token_from", "n_tokens")
 

@@ -48,7 +48,7 @@ def test_plan_places_all_and_matches_brute_force(lengths, capacity):
 
 def packed(spark, sizes, capacity):
     df = spark.createDataFrame(list(enumerate(sizes)), "row_id bigint, n_tokens bigint")
-    return [r.asDict() for r in P.packed(df, capacity).collect()]
+    return [r.asDict() for r in P.packed(df, capacity, 16 * capacity)[capacity].collect()]
 
 
 def test_every_text_once_and_only_large_ones_split(spark, monkeypatch):
