@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import columns as C
 from siftline.operators import gating, interests, maintain, resolve, verify
+from siftline.plans.pipeline import listed
 from siftline.sources.documents import feed_a_candidates, feed_b_candidates
 from siftline.sources.store import cut_at
 from siftline.sources.tables import read
@@ -546,14 +547,7 @@ kept AS (SELECT c.* FROM slugged c LEFT JOIN cfp_state s ON c.slug = s.slug
 def _candidates(spark: SparkSession, d: str, trips: DataFrame) -> DataFrame:
     a = feed_a_candidates(read(spark, d, "feed_a_entries"), F.lit(NOW_MS), "entry_id").withColumn("feed", F.lit(0))
     b = feed_b_candidates(read(spark, d, "feed_b_entries"), as_of(), "entry_id").withColumn("feed", F.lit(1))
-    rows = a.unionByName(b)
-    rows = rows.withColumns({"slug": C.slug_of(F.col("name"), F.col("conf_date"), F.col("deadline"), as_of()), "days_left": C.days_left(F.col("deadline"), as_of())})
-    rows = rows.where(~gating.is_virtual(F.col("name"), F.col("city")) & ~gating.in_regions(F.col("city"), REGIONS) & (F.col("days_left") >= 0))
-    rows = gating.overlapping(rows, C.iso_date(F.col("conf_date")), gating.CONFERENCE_DAYS, trips)
-    rows = gating.without_prefixes(rows, "name", spark.createDataFrame([(p,) for p in PREFIXES], "p string"))
-    rows = gating.state_gate(rows, _state(spark, d), "slug", as_of(), HIDDEN, "remind")
-    rows = resolve.first_seen(rows, resolve.name_key(F.col("name")), [F.col("feed"), F.col("ord")])
-    return rows.select("ord", "name", "city", "conf_date", "cfp_url", "deadline", "slug", "days_left").orderBy(F.coalesce("deadline", F.lit("9999-99-99")), "ord")
+    return listed(a.unionByName(b), _state(spark, d), trips, AS_OF, REGIONS, PREFIXES, HIDDEN)
 
 
 @query(f"WITH {_CAND} SELECT ord, name, city, conf_date, cfp_url, deadline, slug, CAST(days_left AS INT) AS days_left FROM (SELECT *, row_number() OVER (PARTITION BY {s_strip('lower(name)')} ORDER BY feed, ord) AS rn FROM kept) WHERE rn = 1")

@@ -1,19 +1,23 @@
 """A run from given candidates: expiry, verification with its notes and warnings, resolution, interests, guarded commit, evidence gate and freshness, with one injected clock.
 
-The caller brings candidates that have been discovered (`discover.open_candidates`)
-and gated (`gating.state_gate`, `overlapping`, `without_prefixes`, `is_virtual`,
-`in_regions`); everything from there to the report is done here.
+`daily` is the whole of it, from both feeds, trips, interests and the store to the
+list that is given out; `listed` are its gates, `run` is what follows them.  An
+authority's own discovery (`discover.open_candidates`) gives candidates for `run`.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.columns import source_matches, source_rank, stale_prefix, strip_stale, url_identity
+from siftline.functions.columns import days_left, infer_source, iso_date, slug_of, source_matches, source_rank, stale_prefix, strip_stale, url_identity
 from siftline.operators import gating, interests, maintain, resolve, verify
+from siftline.operators.skew import checkpointed
+from siftline.sources import documents, markers
 from siftline.sources.store import RunState, TableStore
 
 
@@ -29,6 +33,34 @@ class Settings:
     interests: list[dict] | None = None
 
 
+def listed(rows: DataFrame, state: DataFrame, trips: DataFrame, today: str, regions: list[str], prefixes: list[str], hidden: list[str]) -> DataFrame:
+    """Candidates of the feeds that pass every gate, each name once, by deadline; `rows` come from the feed readers, with their `feed`."""
+    day = F.lit(today).cast("date")
+    rows = rows.withColumns({"slug": slug_of(F.col("name"), F.col("conf_date"), F.col("deadline"), day), "days_left": days_left(F.col("deadline"), day)})
+    rows = rows.where(~gating.is_virtual(F.col("name"), F.col("city")) & ~gating.in_regions(F.col("city"), regions) & (F.col("days_left") >= 0))
+    rows = gating.overlapping(rows, iso_date(F.col("conf_date")), gating.CONFERENCE_DAYS, trips)
+    rows = gating.without_prefixes(rows, "name", rows.sparkSession.createDataFrame([(p,) for p in prefixes], "p string"))
+    rows = gating.state_gate(rows, state, "slug", day, hidden, "remind")
+    rows = resolve.first_seen(rows, resolve.name_key(F.col("name")), [F.col("feed"), F.col("ord")])
+    return rows.select("ord", "name", "city", "conf_date", "cfp_url", "deadline", "slug", "days_left").orderBy(F.coalesce("deadline", F.lit("9999-99-99")), "ord")
+
+
+def daily(store: TableStore, stages: RunState, fetch_a: Callable, fetch_b: Callable, trips: str | None, interests_file: str, results: DataFrame, now: str, config: dict, s: Settings, regions: list[str], prefixes: list[str], hidden: list[str]) -> tuple[dict, str]:
+    """(report, envelope): one day's run from the feeds to the list; a feed or a trip list that fails costs its own rows and a warning."""
+    spark, today = store.spark, now[:10]
+    ms = int(datetime.fromisoformat(now.replace("Z", "+00:00")).timestamp() * 1000)
+    rows, warnings = documents.gathered(spark, fetch_a, fetch_b, ms, today)
+    known, more = documents.read_trips(trips)
+    busy = spark.createDataFrame(known, "uid string, start string, end string").select(iso_date(F.col("start")).alias("start"), iso_date(F.col("end")).alias("end"))
+    state = store.read()
+    state = spark.createDataFrame([], documents.STORED) if state is None else state
+    out = checkpointed(listed(rows, state, busy, today, regions, prefixes, hidden))
+    fresh = out.withColumns({"source": infer_source(F.col("cfp_url"), s.hosts), "status": F.lit("open")})
+    fresh = fresh.select(*[F.col(f.name) if f.name in fresh.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema.fields])
+    report = run(store, stages, fresh, results, today, now, config, replace(s, interests=documents.read_interests(interests_file)))
+    return report, markers.envelope(out, warnings + more, now)
+
+
 def merged(state: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(state after identity resolution, keys of the rows that were merged away): winners with filled gaps and merged notes, and all rows of no group."""
     rows = state.withColumn("__norm", url_identity(F.col("cfp_url")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import urllib.request
 from collections.abc import Callable
 from pathlib import Path
 
@@ -21,6 +22,10 @@ RECORD = T.StructType([
 ])
 
 
+#: The same as a store keeps it: without the place and the text of a document, with the marks of a run.
+STORED = T.StructType([*RECORD.fields[1:-1], T.StructField("stale", T.BooleanType()), T.StructField("_verify_failed", T.BooleanType())])
+
+
 def _typed(value: object, kind: T.DataType) -> object:
     """The value when it is of the column's kind exactly; "true" and 1 are no booleans."""
     if isinstance(kind, T.BooleanType):
@@ -137,6 +142,12 @@ def feed_text(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return docs.select(F.posexplode(F.from_json("value", schema)).alias("ord", "e")).select(F.col("ord").cast("bigint").alias("ord"), "e.*")
 
 
+def http_get(url: str, timeout: float = 15.0) -> bytes:
+    """The body of one response; whatever is not a success raises."""
+    with urllib.request.urlopen(url, timeout=timeout) as response:
+        return response.read()
+
+
 def fetch_feed(spark: SparkSession, label: str, fetch: Callable[[], bytes | str], schema: str, warnings: list[str]) -> DataFrame:
     """Entries of one feed, which is one response; a feed that fails or is no array gives no rows and one warning, an entry that is no object none."""
     try:

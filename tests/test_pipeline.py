@@ -1,12 +1,16 @@
 """Discovery, feedback, freshness, and a whole run against the store."""
 
 import json
+import threading
+from datetime import datetime
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
 from siftline.operators import discover, gating, maintain
-from siftline.plans.pipeline import Settings, run
+from siftline.plans.pipeline import Settings, daily, run
+from siftline.sources.documents import http_get
 from siftline.sources.store import RunState, TableStore
 
 
@@ -112,3 +116,38 @@ def test_warnings_of_failed_checks_come_and_go(spark, tmp_path):
     assert (got["k1"]["bot_notes"], got["k1"]["stale"], got["k1"]["_verify_failed"], got["k1"]["matched_interests"]) == ("[stale since 2026-06-01] x", True, True, ["rust"])
     assert (got["feed"]["bot_notes"], got["feed"]["stale"], got["feed"]["_verify_failed"], got["feed"]["matched_interests"]) == ("y", None, None, [])
     assert (got["k2"]["bot_notes"], got["k2"]["deadline"], got["k2"]["last_verified"]) == ("z", "2026-09-01", "2026-06-01") and report["existing_verify_failed"] == 1 and report["suppressed"] == 1
+
+
+def test_a_day_from_the_feeds_to_the_list(spark, tmp_path):
+    ms = lambda day: int(datetime.fromisoformat(day + "T00:00:00+00:00").timestamp() * 1000)
+    a = [{"untilDate": ms("2026-09-01"), "link": "https://l.example/heron", "conf": {"name": "Heron Rust Days", "location": "Fen", "date": [ms("2026-11-02")]}}, {"untilDate": ms("2026-09-01"), "link": "https://l.example/busy", "conf": {"name": "Busy", "location": "Fen", "date": [ms("2026-12-02")]}}]
+    b = [{"name": "heron rust days", "locationName": "Fen", "date": "2 November 2026", "cfpEndDate": "1 September 2026", "cfpLink": "https://b.example/h"}, {"name": "Online Thing", "locationName": "Online", "date": "2026-10-01", "cfpEndDate": "2026-08-01", "cfpLink": "https://b.example/o"}]
+    (tmp_path / "interests.json").write_text(json.dumps({"priority_interests": [{"id": "rust", "keywords": ["rust"]}]}))
+    s = Settings("api", [("s.example", "api"), ("l.example", "list")], ["list", "api"])
+    results = spark.createDataFrame([], "slug string, has_error boolean, removed boolean, cfp_open boolean, is_online boolean, cfp_end_local string")
+    store, trips = TableStore(spark, tmp_path / "t"), json.dumps([{"uid": "t1", "start": "2026-12-01", "end": "2026-12-05"}, {"uid": "bad"}])
+    report, out = daily(store, RunState(spark, tmp_path / "r"), lambda: json.dumps(a), lambda: json.dumps(b), trips, str(tmp_path / "interests.json"), results, "2026-06-01T06:00:00Z", {}, s, ["Nowhere"], ["blocked"], ["sent", "dismissed"])
+    assert [(c["name"], c["days_left"]) for c in json.loads(out)["cfps"]] == [("Heron Rust Days", 92)] and json.loads(out)["warnings"] == []
+    assert [(r["slug"], r["source"], r["matched_interests"]) for r in store.read().collect()] == [("heron-rust-days-2026", "list", ["rust"])]
+    assert report["new_candidates_added"] == 1 and report["verification"] == "none-required" and report["written"] == 1
+
+
+def test_http_get():
+    class Page(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/ok" else 404)
+            self.end_headers()
+            self.wfile.write(b"[1]")
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        at = f"http://127.0.0.1:{server.server_port}"
+        assert http_get(at + "/ok") == b"[1]"
+        with pytest.raises(OSError, match="404"):
+            http_get(at + "/no")
+    finally:
+        server.shutdown()
