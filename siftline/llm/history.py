@@ -185,6 +185,7 @@ def keyed(df: DataFrame, row_id: str, slug: str, url: str) -> DataFrame:
 BUCKET_ROWS, MOST_BUCKETS = 100_000, 1_024
 #: So many generations of one level are merged into one of the next: a row is rewritten log(batches) times.
 FAN = 6
+FILTER_BITS = 1 << 22
 INDEX = T.StructType([*[T.StructField(n, T.StringType()) for n in ("segment", "name", "place", "batch")], T.StructField("root", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("gen", "year", "bucket")]])
 
 
@@ -229,6 +230,7 @@ class SegmentIndex:
             probed.setdefault(year, []).append(bucket)
         inside = reduce(lambda a, b: a | b, [(F.col("year") == y) & F.col("bucket").isin(bs) for y, bs in probed.items()], F.lit(False))
         index = self._rows(years="{" + ",".join(sorted(probed)) + "}").where(inside).where(F.col("batch") != batch).select("segment", "name", "place", "root", "year", "bucket")
+        index = _among(index, asked)
         found = asked.join(index, ["year", "bucket", "segment"])
         edits = F.levenshtein("q", "name", TAU)
         places = F.when((F.col("place") == "") | (F.col("q_place") == ""), TAU + 1).otherwise(F.levenshtein("place", "q_place", TAU))
@@ -270,6 +272,19 @@ class SegmentIndex:
         return gen
 
 
+def _among(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """Index rows whose segment may be asked for, told by a bitmap of FILTER_BITS bits before anything of the index is shuffled.
+
+    The bitmap is 512 KB whatever the batch; the more a batch asks for, the less
+    it holds back, and it holds back nothing that is asked for.
+    """
+    at = F.pmod(F.xxhash64("segment"), F.lit(FILTER_BITS)) + 1
+    bits = asked.select(at.alias("__at")).groupBy(F.bitmap_bucket_number("__at").alias("__part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__at")).alias("__bits"))
+    rows = index.withColumn("__at", at).withColumns({"__part": F.bitmap_bucket_number("__at"), "__pos": F.bitmap_bit_position("__at")})
+    byte = F.conv(F.hex(F.substr("__bits", (F.floor(F.col("__pos") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    return rows.join(F.broadcast(bits), "__part").where(F.getbit(byte, (F.col("__pos") % 8).cast("int")) == 1).drop("__at", "__part", "__pos", "__bits")
+
+
 def _writing() -> Column:
     """One text per kind, name and place, or address, of an exploded row."""
     return F.when(F.col("segment").startswith("@"), F.col("segment")).otherwise(F.concat_ws("\u0001", F.substring_index("segment", "|", 1), "name", "place"))
